@@ -12,9 +12,16 @@ from pyspark.sql import functions as F
 
 from pareto_frame.functions.dominance import every, strictly_dominates, weakly_dominates
 from pareto_frame.functions.geometry import as_number, has_number
-from pareto_frame.operators.joins import BROADCAST_ROWS, as_rivals, columns, rival_names
+from pareto_frame.operators.joins import (
+    BROADCAST_ROWS,
+    as_rivals,
+    columns,
+    rival_names,
+    survivors,
+)
 from pareto_frame.session import Phase, materialise
 
+WORTHWHILE = 0.8
 BLOCK_ROWS = 4_000
 MAX_BLOCKS = 10_000
 BLOCK = "__sky_block"
@@ -39,9 +46,27 @@ def global_skyline(
         return broadcast_merge(candidates.rows, dims, keys)
     if not keys and len(dims) == 2:
         return sweep_merge(candidates, dims)
+    while not keys:
+        blocks = cut_into_blocks(candidates, dims)
+        smaller = materialise(below_no_corner(blocks, dims))
+        if smaller.count <= limit:
+            return broadcast_merge(smaller.rows, dims)
+        if smaller.count > WORTHWHILE * candidates.count:
+            break
+        candidates = smaller
     return block_merge(cut_into_blocks(candidates, dims, keys), dims, keys)
 
 
+def below_no_corner(blocks: DataFrame, dims: Sequence[str]) -> DataFrame:
+    """Rows that no block dominates as a whole.
+
+    A row worse than the upper corner of a block is dominated by every row of
+    that block. There are at most MAX_BLOCKS corners.
+    """
+    corners = blocks.groupBy(BLOCK).agg(*[F.max(c).alias(c) for c in dims])
+    return survivors(blocks, dims, corners).select(*dims)
+
+
 def broadcast_merge(rows: DataFrame, dims: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
     """Every candidate against all of them; only for a checked size."""
     own = [F.col(k).alias(f"__sky_key{i}") for i, k in enumerate(keys)]

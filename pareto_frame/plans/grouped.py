@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pareto_frame.functions.dominance import every
 from pareto_frame.operators.aggregates import skyline_aggregate
 from pareto_frame.operators.cleaning import quoted
 from pareto_frame.operators.joins import BROADCAST_ROWS
@@ -36,7 +37,7 @@ def skyline_by(
     xs = [f"__sky_x{i}" for i in range(len(exprs))]
     narrow = df.select(
         *[quoted(k) for k in keys], *[e.alias(x) for e, x in zip(exprs, xs, strict=True)]
-    ).na.drop("any", subset=xs)
+    ).filter(every([F.col(x).isNotNull() for x in xs]))
     types = [f.dataType for f in narrow.schema.fields[len(keys) :]]
     if not all(supports(t) for t in types):
         merged = global_skyline(materialise(narrow.distinct()), xs, keys, broadcast_rows)

@@ -1,0 +1,91 @@
+"""Experiments over the strategies. Only counts and timings reach the driver."""
+
+from __future__ import annotations
+
+import time
+from collections.abc import Mapping, Sequence
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from pareto_frame.functions.geometry import cell_id, grid_coordinates
+from pareto_frame.operators.aggregates import best_representatives
+from pareto_frame.operators.cleaning import normalise
+from pareto_frame.operators.joins import survivors
+from pareto_frame.plans.grouped import skyline_by
+from pareto_frame.plans.skyline import STRATEGIES, resolve_dims, skyline
+from pareto_frame.session import materialise
+
+
+def phase_counts(
+    df: DataFrame, dims: Sequence[str | Column], per_dim: int = 10, slices: int = 4
+) -> DataFrame:
+    """Rows left after each phase: input, representative filter, local, global.
+
+    Local skylines are those of grid cells, so that the counts depend on the
+    data alone and not on how it is partitioned.
+    """
+    names, exprs = resolve_dims(df, dims)
+    rows = df.select(*exprs).na.drop("any")
+    scaled_names = [f"__sky_s{i}" for i in range(len(names))]
+    copies = {s: F.col(n).cast("double") for s, n in zip(scaled_names, names, strict=True)}
+    scaled = normalise(rows.withColumns(copies), scaled_names, per_dim=True)
+    units = [F.col(s) for s in scaled_names]
+
+    points = best_representatives(scaled, names, units, per_dim)
+    strongest = materialise(points.select(*names).distinct())
+    filtered = survivors(scaled, names, strongest.rows)
+    cell = cell_id(grid_coordinates(units, slices), slices).alias("cell")
+    filtered = filtered.select(cell, *names)
+    counts = [
+        rows.agg(F.count(F.lit(1)).alias("n_rows")),
+        filtered.agg(F.count(F.lit(1)).alias("n_filtered")),
+        skyline_by(filtered, ["cell"], names).agg(F.count(F.lit(1)).alias("n_local")),
+        skyline(filtered, names, ties="distinct").agg(F.count(F.lit(1)).alias("n_skyline")),
+    ]
+    found = {c.columns[0]: c.first()[0] for c in counts}
+    return df.sparkSession.createDataFrame(
+        [tuple(found.values())], ", ".join(f"{n} bigint" for n in found)
+    )
+
+
+def sweep_sizes(
+    inputs: Mapping[str, DataFrame],
+    dims: Sequence[str | Column],
+    strategies: Sequence[str] = ("sfs_range",),
+    ties: str = "distinct",
+) -> DataFrame:
+    """Skyline size and time for inputs of growing size."""
+    spark = next(iter(inputs.values())).sparkSession
+    measured = []
+    for name, points in inputs.items():
+        n = points.count()
+        for strategy in strategies:
+            begin = time.perf_counter()
+            size = skyline(points, dims, strategy, ties=ties).count()
+            measured.append((name, strategy, n, size, time.perf_counter() - begin))
+    return spark.createDataFrame(
+        measured, "input string, strategy string, n bigint, size bigint, seconds double"
+    )
+
+
+def compare_strategies(
+    df: DataFrame,
+    dims: Sequence[str | Column],
+    strategies: Sequence[str] | None = None,
+    ties: str = "all",
+) -> DataFrame:
+    """Per strategy, how many rows it misses or adds compared with ``sql``."""
+    expected = materialise(skyline(df, dims, "sql", ties=ties)).rows
+    lines = []
+    for strategy in strategies or STRATEGIES:
+        found = materialise(skyline(df, dims, strategy, ties=ties)).rows
+        missing = expected.exceptAll(found).select(F.lit(1).alias("m"), F.lit(0).alias("s"))
+        surplus = found.exceptAll(expected).select(F.lit(0).alias("m"), F.lit(1).alias("s"))
+        total = missing.unionByName(surplus).agg(
+            F.coalesce(F.sum("m"), F.lit(0)).alias("missing"),
+            F.coalesce(F.sum("s"), F.lit(0)).alias("surplus"),
+        )
+        lines.append(total.select(F.lit(strategy).alias("strategy"), "missing", "surplus"))
+    return reduce(DataFrame.unionByName, lines)

@@ -48,6 +48,7 @@ from pareto_frame.operators.merge import block_merge, cut_into_blocks, global_sk
 from pareto_frame.session import Phase, default_partitions, materialise
 
 MAX_CELLS = 32_768
+FEW_ROWS = 10_000
 
 
 @dataclass(frozen=True)
@@ -67,19 +68,28 @@ class Input:
     types: list[T.DataType]
     partitions: int
     limit: int
+    extent: tuple | None = None
 
     def numbers(self) -> list[Column]:
         pairs = zip(self.xs, self.types, strict=True)
         return [as_number(F.col(x), t) for x, t in pairs]
 
     @cached_property
-    def bounds(self) -> list[tuple[float, float]]:
-        """Finite extent of each dimension: two numbers per dimension."""
+    def _summary(self):
+        """Row count and finite extent of each dimension, in one aggregation."""
         xs = [finite(n) for n in self.numbers()]
         ends = [f(x).alias(f"{f.__name__}{i}") for i, x in enumerate(xs) for f in (F.min, F.max)]
-        row = self.rows.agg(*ends).first()
+        return self.rows.agg(F.count(F.lit(1)).alias("n"), *ends).first()
+
+    @property
+    def count(self) -> int:
+        return self._summary["n"]
+
+    @property
+    def bounds(self) -> list[tuple[float, float]]:
+        known = self.extent or self._summary[1:]
         return [
-            (row[2 * i] or 0.0, row[2 * i + 1] or 0.0) for i in range(len(self.xs))
+            (known[2 * i] or 0.0, known[2 * i + 1] or 0.0) for i in range(len(self.xs))
         ]
 
     def unit(self, half_open: bool = False) -> list[Column]:
@@ -95,11 +105,9 @@ class Input:
         return reduce(add, self.unit())
 
     def having(self, rows: DataFrame) -> Input:
-        """The same dimensions over other rows, with the extent already known."""
-        other = replace(self, rows=rows)
-        if "bounds" in self.__dict__:
-            other.__dict__["bounds"] = self.bounds
-        return other
+        """The same dimensions over other rows, scaled as before if scaled at all."""
+        scaled = "_summary" in self.__dict__
+        return replace(self, rows=rows, extent=self._summary[1:] if scaled else self.extent)
 
 
 def skyline(
@@ -139,7 +147,7 @@ def skyline(
     xs = [f"__sky_x{i}" for i in range(len(exprs))]
     narrow = df.select(*[e.alias(x) for e, x in zip(exprs, xs, strict=True)])
     source = Input(
-        narrow.na.drop("any"),
+        narrow.filter(every([F.col(x).isNotNull() for x in xs])),
         xs,
         [f.dataType for f in narrow.schema.fields],
         partitions or default_partitions(df),
@@ -202,6 +210,11 @@ def _distinct(source: Input, rows: DataFrame) -> DataFrame:
     return partitioning.spread(rows, source.xs, source.partitions).dropDuplicates(source.xs)
 
 
+def _from_ranges(source: Input, first: Phase) -> Tuples:
+    ranges = partitioning.by_first_dimension(first.rows, source.xs, source.partitions)
+    return _merged(source, materialise(local_skyline(ranges, source.xs, presorted=True)))
+
+
 def _keyed_candidates(source: Input, key: Column) -> Phase:
     laid = partitioning.by_key(source.rows, key, source.xs, source.partitions)
     return materialise(local_skyline(laid, source.xs))
@@ -217,19 +230,31 @@ def _minimum(source: Input) -> Tuples:
 
 
 def _auto(source: Input) -> Tuples:
-    """Local pass where the data lies, one more after a balanced shuffle, merge."""
-    laid = partitioning.spread(_combined(source), source.xs, source.partitions)
-    return _merged(source, materialise(local_skyline(laid, source.xs)))
+    """Local pass where the data lies; a second one on ranges if many tuples are left."""
+    first = materialise(_distinct(source, _combined(source)))
+    return _merged(source, first) if first.count <= FEW_ROWS else _from_ranges(source, first)
 
 
 def _sql(source: Input) -> Tuples:
-    """NOT EXISTS as an anti-join, without Python."""
-    return _merged(source, materialise(minimal_partners(source.rows, source.xs)))
+    """NOT EXISTS as an anti-join, without Python.
+
+    The right side is first reduced to the rows that matter as dominators. A
+    large input is filtered by representatives before it is shuffled for that.
+    """
+    distinct = [F.approx_count_distinct(x).alias(x) for x in source.xs]
+    sizes = source.rows.agg(F.count(F.lit(1)).alias("n"), *distinct).first()
+    rows = source.rows
+    if sizes["n"] > source.limit and all(has_number(t) for t in source.types):
+        rows = _representative_filter(source, None, 10)
+    # the dimension with most values goes last: that leaves the fewest rows
+    by_values = sorted(source.xs, key=lambda x: sizes[x])
+    return _merged(source, materialise(minimal_partners(rows, by_values).select(*source.xs)))
 
 
 def _bnl(source: Input) -> Tuples:
     """Unsorted window pass on balanced partitions."""
-    return _auto(source)
+    laid = partitioning.spread(_combined(source), source.xs, source.partitions)
+    return _merged(source, materialise(local_skyline(laid, source.xs)))
 
 
 def _sfs(source: Input) -> Tuples:
@@ -241,9 +266,7 @@ def _sfs(source: Input) -> Tuples:
 
 def _sfs_range(source: Input) -> Tuples:
     """Sorted pass on ranges of the first dimension."""
-    first = materialise(_distinct(source, _combined(source)))
-    ranges = partitioning.by_first_dimension(first.rows, source.xs, source.partitions)
-    return _merged(source, materialise(local_skyline(ranges, source.xs, presorted=True)))
+    return _from_ranges(source, materialise(_distinct(source, _combined(source))))
 
 
 def _sfs_random(source: Input) -> Tuples:
@@ -289,14 +312,11 @@ def _grid_filter(
     slices = _capped_slices(slices, len(source.xs))
     current, size = source, None
     for _ in range(rounds):
-        current = Input(
-            current.rows, source.xs, source.types, source.partitions, source.limit
-        )
-        now = current.rows.count()
-        if size is not None and now > keep_going * size:
+        current = replace(current, extent=None)
+        if size is not None and current.count > keep_going * size:
             break
-        size = now
-        current = current.having(_in_surviving_cells(current, slices))
+        size = current.count
+        current = replace(current, rows=_in_surviving_cells(current, slices))
     return _sfs_range(current)
 
 
@@ -327,8 +347,8 @@ def _representative_filter(source: Input, reps: DataFrame | None, per_dim: int)
         if given.count > source.limit:
             return source.rows.unionByName(given.rows)
         strongest = given
-    kept = materialise(survivors(strongest.rows, source.xs, strongest.rows))
-    return survivors(source.rows, source.xs, kept.rows)
+    best = survivors(strongest.rows, source.xs, strongest.rows)
+    return survivors(source.rows, source.xs, best)
 
 
 def _representatives(
