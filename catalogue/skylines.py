@@ -140,7 +140,8 @@ def cell_filter(spark, folder):
 _MIXED = ["price", "customer", "day"]
 _MIXED_ROWS = """
     (SELECT o_totalprice AS price, -o_custkey AS customer,
-            date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) AS day FROM orders)
+            CAST(date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) AS INT) AS day
+     FROM orders)
 """
 _MIXED_SKY = f"""
     WITH o AS {_MIXED_ROWS} SELECT DISTINCT * FROM o p WHERE {not_exists("o", _MIXED)}
@@ -249,15 +250,16 @@ for _name, _strategy, _options in [
     register(_name, LINE_ROWS)(partial(_line_skyline, _strategy, **_options))
 
 _DISTINCT_LINE = f"""{LINE_TUPLES}
-    SELECT l_extendedprice, -l_quantity AS quantity, -l_discount AS discount, l_tax FROM tuples
+    SELECT l_extendedprice, 0 - l_quantity AS quantity, 0 - l_discount AS discount, l_tax
+    FROM tuples
 """
 
 
 def _distinct_line(strategy, spark, folder):
     dims = [
         "l_extendedprice",
-        (-F.col("l_quantity")).alias("quantity"),
-        (-F.col("l_discount")).alias("discount"),
+        (0 - F.col("l_quantity")).alias("quantity"),
+        (0 - F.col("l_discount")).alias("discount"),
         "l_tax",
     ]
     return skyline(line(spark, folder), dims, strategy, ties="distinct")
@@ -343,7 +345,7 @@ def nulls_keep(spark, folder):
 # after aggregation, mixed types, many dimensions, negative values
 
 
-def _register_stats(name, source, columns, negated, sql, build, strategy="auto"):
+def _register_stats(name, source, columns, sql, build, strategy="auto"):
     dims = columns[1:]
     shown = ", ".join(columns)
     text = f"WITH t AS ({sql}) SELECT {shown} FROM t p WHERE {not_exists('t', dims)}"
@@ -357,7 +359,6 @@ _register_stats(
     "skyline_part_stats",
     "lineitem",
     ["l_partkey", "price", "quantity", "discount", "tax"],
-    [],
     "SELECT l_partkey, min(l_extendedprice) AS price, -sum(l_quantity) AS quantity, "
     "-max(l_discount) AS discount, min(l_tax) AS tax FROM lineitem GROUP BY l_partkey",
     lambda t: t.groupBy("l_partkey").agg(
@@ -371,7 +372,6 @@ _register_stats(
     "skyline_customer_stats",
     "orders",
     ["o_custkey", "price", "first", "n"],
-    [],
     "SELECT o_custkey, min(o_totalprice) AS price, min(o_orderdate) AS first, -count(*) AS n "
     "FROM orders GROUP BY o_custkey",
     lambda t: t.groupBy("o_custkey").agg(
@@ -385,7 +385,6 @@ _register_stats(
     "skyline_supplier_stats",
     "lineitem",
     ["l_suppkey", "price", "quantity", "discount", "tax", "n"],
-    [],
     "SELECT l_suppkey, min(l_extendedprice) AS price, -sum(l_quantity) AS quantity, "
     "-round(avg(l_discount), 6) AS discount, round(avg(l_tax), 6) AS tax, "
     "count(*) AS n FROM lineitem GROUP BY l_suppkey",
@@ -402,7 +401,6 @@ _register_stats(
     "skyline_event_users",
     "events",
     ["user_id", "low", "n", "high"],
-    [],
     "SELECT user_id, min(value) AS low, -count(*) AS n, max(value) AS high "
     "FROM events GROUP BY user_id",
     lambda t: t.groupBy("user_id").agg(
@@ -416,7 +414,6 @@ _register_stats(
     "skyline_embedding_elements",
     "embeddings",
     ["vec_id", "a", "b", "c"],
-    [],
     "SELECT vec_id, embedding[1] AS a, embedding[2] AS b, embedding[3] AS c FROM embeddings",
     lambda t: t.select(
         "vec_id", *[F.col("embedding")[i].alias(n) for i, n in enumerate("abc")]

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from pareto_frame.functions.dominance import strictly_dominates, weakly_dominates
 from pareto_frame.functions.geometry import dominated_volume
-from pareto_frame.operators.joins import BROADCAST_ROWS, SEMI_BROADCAST_ROWS
+from pareto_frame.operators.joins import BROADCAST_ROWS, SEMI_BROADCAST_VALUES
 from pareto_frame.operators.merge import global_skyline
 from pareto_frame.session import Phase, materialise
 
@@ -63,7 +63,7 @@ def pack_cells(df: DataFrame, cell: str, dims: Sequence[str], chunk_rows: int =
     counted = df.groupBy(cell, *dims).agg(F.count(F.lit(1)).alias("copies"))
     sizes = counted.groupBy(cell).agg(F.count(F.lit(1)).alias("__sky_size"))
     large = materialise(sizes.filter(F.col("__sky_size") > chunk_rows))
-    sizes = F.broadcast(large.rows) if large.count <= SEMI_BROADCAST_ROWS else large.rows
+    sizes = F.broadcast(large.rows) if large.count <= SEMI_BROADCAST_VALUES // 2 else large.rows
     chunks = F.ceil(F.coalesce(F.col("__sky_size"), F.lit(1)) / F.lit(chunk_rows))
     return (
         counted.join(sizes, cell, "left")

@@ -68,15 +68,15 @@ def normalise(
 ) -> DataFrame:
     """Min-max scale ``dims`` with one shared extent, or one per dimension.
 
-    The extent is a one-row scalar subquery, so the result stays lazy.
+    The extent (two numbers, or two per dimension) is read by a job when this is
+    called; the scaling itself is a projection.
     """
-    bounds = extent(df, dims, per_dim)
-    row = bounds.select(F.struct(*bounds.columns).alias("bounds")).scalar()
+    bounds = extent(df, dims, per_dim).first()
     scaled = {}
     for i, c in enumerate(dims):
         lo, hi = (f"lo_{i}", f"hi_{i}") if per_dim else ("lo", "hi")
         x = F.col(c).cast("double")
-        scaled[c] = rescale(x, row.getField(lo), row.getField(hi), half_open)
+        scaled[c] = rescale(x, F.lit(bounds[lo] or 0.0), F.lit(bounds[hi] or 0.0), half_open)
     return df.withColumns(scaled)
 
 

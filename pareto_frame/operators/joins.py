@@ -21,7 +21,7 @@ from pareto_frame.functions.dominance import (
 from pareto_frame.session import materialise
 
 BROADCAST_ROWS = 100_000
-SEMI_BROADCAST_ROWS = 1_000_000
+SEMI_BROADCAST_VALUES = 4_000_000
 SALTS = 16
 
 
@@ -78,11 +78,12 @@ def matching_rows(
     Beyond the broadcast bound one value may still hold a large share of the
     rows, so rows are salted by their scan partition and the tuples repeated.
     """
-    if at_most > SEMI_BROADCAST_ROWS:
+    bound = SEMI_BROADCAST_VALUES // len(names)
+    if at_most > bound:
         phase = materialise(tuples)
         tuples, at_most = phase.rows, phase.count
     same = every([e == F.col(n) for e, n in zip(exprs, names, strict=True)])
-    if at_most <= SEMI_BROADCAST_ROWS:
+    if at_most <= bound:
         return df.join(F.broadcast(tuples), same, "left_semi")
     salt = F.pmod(F.spark_partition_id(), F.lit(SALTS))
     copies = tuples.withColumn("__sky_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))

@@ -19,18 +19,34 @@ THIRD_ROUND = (777, 15485863)
 KINDS = ("independent", "correlated", "anti_correlated")
 
 
-def uniform(row_id: Column, dim: int) -> Column:
-    """Pseudo-random double in [0, 1) for a row and a dimension number.
+def with_draws(df: DataFrame, key: Column, dims: int) -> DataFrame:
+    """Add pseudo-random doubles in [0, 1) as ``__sky_u0``, ``__sky_u1``, ...
 
-    Declared as never null (NaN for a row without id), so that null checks of
-    later steps cost nothing.
+    One projection per mixing round: a round uses its input twice, and nested
+    expressions would double with each. Declared as never null (NaN for a row
+    without id), so that null checks of later steps cost nothing.
     """
     p = F.lit(PRIME).cast("bigint")
-    shift = F.lit(FIRST_ROUND[1] * dim + FIRST_ROUND[2])
-    a = F.pmod(row_id * F.lit(FIRST_ROUND[0]).cast("bigint") + shift, p)
-    b = F.pmod(a * a + F.lit(SECOND_ROUND[0] + SECOND_ROUND[1] * dim), p)
-    c = F.pmod(b * b + F.lit(THIRD_ROUND[0] + THIRD_ROUND[1] * dim), p)
-    return F.coalesce(c.cast("double") / F.lit(float(PRIME)), F.lit(float("nan")))
+    mixed = [f"__sky_u{j}" for j in range(dims)]
+    factor = F.lit(FIRST_ROUND[0]).cast("bigint")
+    df = df.withColumns(
+        {
+            u: F.pmod(key * factor + F.lit(FIRST_ROUND[1] * j + FIRST_ROUND[2]), p)
+            for j, u in enumerate(mixed)
+        }
+    )
+    for constant, step in (SECOND_ROUND, THIRD_ROUND):
+        df = df.withColumns(
+            {
+                u: F.pmod(F.col(u) * F.col(u) + F.lit(constant + step * j), p)
+                for j, u in enumerate(mixed)
+            }
+        )
+    unit = {
+        u: F.coalesce(F.col(u).cast("double") / F.lit(float(PRIME)), F.lit(float("nan")))
+        for u in mixed
+    }
+    return df.withColumns(unit)
 
 
 def with_points(
@@ -53,19 +69,22 @@ def with_points(
     if kind not in KINDS:
         raise ValueError(f"kind is one of {', '.join(KINDS)}")
     key = (F.col(row_id) if isinstance(row_id, str) else row_id).cast("bigint")
-    draws = [uniform(key + F.lit(seed).cast("bigint"), j) for j in range(dims)]
-    first = draws[0] * F.lit(hi - lo) + F.lit(lo)
+    drawn = with_draws(df, key + F.lit(seed).cast("bigint"), dims)
+    draws = [F.col(f"__sky_u{j}") for j in range(dims)]
+    drawn = drawn.withColumn("x0", draws[0] * F.lit(hi - lo) + F.lit(lo))
     width = F.lit(spread * 0.01)
-    points = [first]
-    for u in draws[1:]:
+    others = {}
+    for j, u in enumerate(draws[1:], start=1):
         if kind == "independent":
-            points.append(u * F.lit(hi - lo) + F.lit(lo))
+            others[f"x{j}"] = u * F.lit(hi - lo) + F.lit(lo)
         elif kind == "correlated":
-            points.append(first + (u - F.lit(0.5)) * width)
+            others[f"x{j}"] = F.col("x0") + (u - F.lit(0.5)) * width
         else:
-            left = F.lit(hi) - first
-            points.append(left + left * (u - F.lit(0.5)) * width)
-    return df.withColumns({f"x{j}": x for j, x in enumerate(points)})
+            left = F.lit(hi) - F.col("x0")
+            others[f"x{j}"] = left + left * (u - F.lit(0.5)) * width
+    if others:
+        drawn = drawn.withColumns(others)
+    return drawn.drop(*[f"__sky_u{j}" for j in range(dims)])
 
 
 def generate_points(
