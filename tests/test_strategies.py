@@ -14,6 +14,11 @@ from tests import brute
 ALL = sorted(STRATEGIES)
 
 
+def in_memory(df):
+    """Short plans: the generator is not computed again in every phase."""
+    return df.sparkSession.createDataFrame(df.collect(), df.schema)
+
+
 @pytest.mark.parametrize("strategy", ALL)
 def test_toy_set(spark, strategy):
     assert brute.rows(skyline(toy_points(spark, 400), strategy=strategy)) == sorted(TOY_SKYLINE)
@@ -41,6 +46,7 @@ def test_known_sizes(spark, kind, dims, spread, size):
 def test_all_strategies_agree(spark, kind, dims):
     rounded = [F.round(f"x{i}", 2).alias(f"x{i}") for i in range(dims)]
     points = generate_points(spark, 400, kind, dims=dims, spread=100.0).select("id", *rounded)
+    points = in_memory(points)
     names = [f"x{i}" for i in range(dims)]
     expected = brute.skyline(tuple(r) for r in points.select(*names).collect())
     assert brute.rows(skyline(points, names, "sql").select(*names)) == expected
@@ -51,7 +57,7 @@ def test_all_strategies_agree(spark, kind, dims):
 @pytest.mark.parametrize("dims", [1, 3, 6, 9])
 @pytest.mark.parametrize("strategy", ["sfs_range", "angular", "grid_parallel", "grid_filter"])
 def test_dimensions(spark, dims, strategy):
-    points = generate_points(spark, 200, "independent", dims=dims).drop("id")
+    points = in_memory(generate_points(spark, 200, "independent", dims=dims).drop("id"))
     expected = brute.skyline(tuple(r) for r in points.collect())
     assert brute.rows(skyline(points, strategy=strategy)) == expected
 
@@ -167,6 +173,7 @@ def test_merges_beyond_the_broadcast_bound(spark, monkeypatch, dims):
     monkeypatch.setattr(merge, "BLOCK_ROWS", 60)
     monkeypatch.setattr(plans, "FEW_ROWS", 10)
     points = generate_points(spark, 600, "anti_correlated", dims=dims, spread=100.0).drop("id")
+    points = in_memory(points)
     expected = brute.skyline(tuple(r) for r in points.collect())
     for strategy in ("auto", "sql", "grid_parallel", "representatives"):
         found = skyline(points, strategy=strategy, broadcast_rows=3)
