@@ -245,7 +245,7 @@ def _sql(source: Input) -> Tuples:
     sizes = source.rows.agg(F.count(F.lit(1)).alias("n"), *distinct).first()
     rows = source.rows
     if sizes["n"] > source.limit and all(has_number(t) for t in source.types):
-        rows = _representative_filter(source, None, 10)
+        rows = _representative_filter(source, per_dim=10)
     # the dimension with most values goes last: that leaves the fewest rows
     by_values = sorted(source.xs, key=lambda x: sizes[x])
     return _merged(source, materialise(minimal_partners(rows, by_values).select(*source.xs)))
@@ -337,18 +337,11 @@ def _capped_slices(slices: int, dims: int) -> int:
     return slices
 
 
-def _representative_filter(source: Input, reps: DataFrame | None, per_dim: int) -> DataFrame:
-    if reps is None:
-        points = best_representatives(source.rows, source.xs, source.unit(), per_dim)
-        strongest = materialise(points.select(*source.xs).distinct())
-    else:
-        named = [quoted(c).alias(x) for c, x in zip(reps.columns, source.xs, strict=True)]
-        given = materialise(reps.select(*named).na.drop("any").distinct())
-        if given.count > source.limit:
-            return source.rows.unionByName(given.rows)
-        strongest = given
-    best = survivors(strongest.rows, source.xs, strongest.rows)
-    return survivors(source.rows, source.xs, best)
+def _representative_filter(source: Input, per_dim: int) -> DataFrame:
+    points = best_representatives(source.rows, source.xs, source.unit(), per_dim)
+    # at most dims * per_dim points
+    strongest = materialise(points.select(*source.xs).distinct()).rows
+    return survivors(source.rows, source.xs, survivors(strongest, source.xs, strongest))
 
 
 def _representatives(
@@ -358,14 +351,24 @@ def _representatives(
 
     ``given`` supplies the points instead, in the order of the dimensions.
     """
-    return _sfs_range(source.having(_representative_filter(source, given, per_dim)))
+    if given is None:
+        return _sfs_range(source.having(_representative_filter(source, per_dim)))
+    named = [quoted(c).alias(x) for c, x in zip(given.columns, source.xs, strict=True)]
+    points = materialise(given.select(*named).na.drop("any").distinct())
+    if points.count <= source.limit:
+        best = survivors(points.rows, source.xs, points.rows)
+        return _sfs_range(source.having(survivors(source.rows, source.xs, best)))
+    # too many to ship: they compete, and only tuples of the input are returned
+    found = _sfs_range(source.having(source.rows.unionByName(points.rows)))
+    own = found.rows.join(source.rows.distinct(), source.xs, "left_semi")
+    return Tuples(own, found.at_most)
 
 
 def _three_phase(source: Input, per_dim: int = 10) -> Tuples:
     """Sorted slices, filtered by representatives, with a parallel merge."""
     first = source.having(materialise(_distinct(source, _combined(source))).rows)
     ranges = partitioning.by_first_dimension(first.rows, source.xs, source.partitions)
-    kept = _representative_filter(first.having(ranges), None, per_dim)
+    kept = _representative_filter(first.having(ranges), per_dim)
     ordered = kept.sortWithinPartitions(*source.xs)
     return _merged(source, materialise(local_skyline(ordered, source.xs, presorted=True)))
 
