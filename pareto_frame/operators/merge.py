@@ -46,15 +46,16 @@ def global_skyline(
         return broadcast_merge(candidates.rows, dims, keys)
     if not keys and len(dims) == 2:
         return sweep_merge(candidates, dims)
+    blocks = cut_into_blocks(candidates, dims, keys)
     while not keys:
-        blocks = cut_into_blocks(candidates, dims)
         smaller = materialise(below_no_corner(blocks, dims))
         if smaller.count <= limit:
             return broadcast_merge(smaller.rows, dims)
         if smaller.count > WORTHWHILE * candidates.count:
             break
         candidates = smaller
-    return block_merge(cut_into_blocks(candidates, dims, keys), dims, keys)
+        blocks = cut_into_blocks(candidates, dims)
+    return block_merge(blocks, dims, keys)
 
 
 def below_no_corner(blocks: DataFrame, dims: Sequence[str]) -> DataFrame:

@@ -49,6 +49,9 @@ from pareto_frame.session import Phase, default_partitions, materialise
 
 MAX_CELLS = 32_768
 FEW_ROWS = 10_000
+# Angles or grid coordinates in a partition key; more would not make it finer,
+# since partitions are far fewer than keys.
+LAYOUT_COORDINATES = 6
 
 
 @dataclass(frozen=True)
@@ -279,10 +282,14 @@ def _sfs_random(source: Input) -> Tuples:
 def _angular(source: Input, slices: int = 32) -> Tuples:
     """Partitions by angle; tuples that compete lie in the same direction."""
     first = source.having(materialise(_distinct(source, _combined(source))).rows)
-    key = angular_bucket(first.unit(half_open=True), slices)
+    key = _angle_key(first.unit(half_open=True), slices)
     return _merged(source, _keyed_candidates(first, key))
 
 
+def _angle_key(unit: list[Column], slices: int) -> Column:
+    return angular_bucket(unit[: LAYOUT_COORDINATES + 1], slices)
+
+
 def _radius_angular(source: Input, radius: float = 0.5, slices: int = 32) -> Tuples:
     """Skyline of the ball around the origin first, as a filter for the rest.
 
@@ -300,7 +307,7 @@ def _radius_angular(source: Input, radius: float = 0.5, slices: int = 32) -> Tup
     seed = materialise(global_skyline(core, source.xs, limit=source.limit))
     if seed.count <= source.limit:
         outside = survivors(outside, source.xs, seed.rows)
-    outer = _keyed_candidates(first.having(outside), angular_bucket(unit, slices))
+    outer = _keyed_candidates(first.having(outside), _angle_key(unit, slices))
     both = Phase(seed.rows.unionByName(outer.rows), seed.count + outer.count)
     return _merged(source, both)
 
@@ -309,7 +316,10 @@ def _grid_filter(
     source: Input, slices: int = 32, keep_going: float = 0.8, rounds: int = 4
 ) -> Tuples:
     """Drop rows in dominated cells, again on a finer scale while that pays."""
-    slices = _capped_slices(slices, len(source.xs))
+    slices, coordinates = _fitting(slices, len(source.xs), MAX_CELLS)
+    if coordinates < len(source.xs):
+        # too many dimensions for a grid: a cell would need all of them to dominate
+        return _sfs_range(source)
     current, size = source, None
     for _ in range(rounds):
         current = replace(current, extent=None)
@@ -331,10 +341,13 @@ def _in_surviving_cells(source: Input, slices: int) -> DataFrame:
     return source.rows.join(alive, same, "left_semi")
 
 
-def _capped_slices(slices: int, dims: int) -> int:
-    while slices > 2 and slices**dims > MAX_CELLS:
+def _fitting(slices: int, digits: int, most: int) -> tuple[int, int]:
+    """Fewer slices, then fewer coordinates, until there are at most ``most`` cells."""
+    while slices > 2 and slices**digits > most:
         slices -= 1
-    return slices
+    while slices**digits > most:
+        digits -= 1
+    return slices, digits
 
 
 def _representative_filter(source: Input, per_dim: int) -> DataFrame:
@@ -376,17 +389,19 @@ def _three_phase(source: Input, per_dim: int = 10) -> Tuples:
 def _grid(source: Input, slices: int = 2) -> Tuples:
     """Partitions by grid cell."""
     first = source.having(materialise(_distinct(source, _combined(source))).rows)
-    slices = _capped_slices(slices, len(source.xs))
-    cell = cell_id(grid_coordinates(first.unit(half_open=True), slices), slices)
+    slices, used = _fitting(slices, min(len(source.xs), LAYOUT_COORDINATES), MAX_CELLS)
+    cell = cell_id(grid_coordinates(first.unit(half_open=True)[:used], slices), slices)
     return _merged(source, _keyed_candidates(first, cell))
 
 
 def _grid_parallel(source: Input, slices: int = 2) -> Tuples:
     """Dominated cells dropped, one skyline per cell, cells refined by their neighbours."""
-    slices = _capped_slices(slices, len(source.xs))
-    alive = source.having(_in_surviving_cells(source, slices))
-    names = [f"__sky_c{i}" for i in range(len(source.xs))]
-    coordinates = grid_coordinates(source.unit(half_open=True), slices)
+    slices, used = _fitting(slices, min(len(source.xs), LAYOUT_COORDINATES), MAX_CELLS)
+    alive = source
+    if used == len(source.xs):
+        alive = source.having(_in_surviving_cells(source, slices))
+    names = [f"__sky_c{i}" for i in range(used)]
+    coordinates = grid_coordinates(source.unit(half_open=True)[:used], slices)
     placed = alive.rows.select(
         *source.xs, *[c.alias(n) for c, n in zip(coordinates, names, strict=True)]
     )

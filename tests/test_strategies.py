@@ -62,6 +62,16 @@ def test_dimensions(spark, dims, strategy):
     assert brute.rows(skyline(points, strategy=strategy)) == expected
 
 
+def test_very_many_dimensions(spark):
+    points = in_memory(generate_points(spark, 60, dims=20).drop("id"))
+    points = points.unionByName(points.select(*[(F.col(c) + 1).alias(c) for c in points.columns]))
+    expected = brute.skyline(tuple(r) for r in points.collect())
+    assert len(expected) == 60
+    strategies = ["angular", "grid", "grid_parallel", "grid_filter", "radius_angular"]
+    for strategy in [*strategies, "representatives"]:
+        assert brute.rows(skyline(points, strategy=strategy)) == expected, strategy
+
+
 EDGES = {
     "empty": ([], []),
     "all equal": ([(1, 1)] * 5, [(1, 1)] * 5),
