@@ -52,6 +52,7 @@ FEW_ROWS = 10_000
 # Angles or grid coordinates in a partition key; more would not make it finer,
 # since partitions are far fewer than keys.
 LAYOUT_COORDINATES = 6
+MOST_VOLUME_DIMENSIONS = 9
 
 
 @dataclass(frozen=True)
@@ -351,6 +352,9 @@ def _fitting(slices: int, digits: int, most: int) -> tuple[int, int]:
 
 
 def _representative_filter(source: Input, per_dim: int) -> DataFrame:
+    if len(source.xs) > MOST_VOLUME_DIMENSIONS:
+        # no point dominates a volume worth filtering by
+        return source.rows
     points = best_representatives(source.rows, source.xs, source.unit(), per_dim)
     # at most dims * per_dim points
     strongest = materialise(points.select(*source.xs).distinct()).rows
