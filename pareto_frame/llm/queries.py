@@ -2,5 +2,6 @@
 
 from pareto_frame.llm import (  # noqa: F401
     query_chat,
+    query_secrets,
 )
 from pareto_frame.llm.registry import ORACLES, QUERIES  # noqa: F401
