@@ -3,5 +3,6 @@
 from pareto_frame.llm import (  # noqa: F401
     query_chat,
     query_secrets,
+    query_topk,
 )
 from pareto_frame.llm.registry import ORACLES, QUERIES  # noqa: F401
