@@ -3,6 +3,7 @@
 from pareto_frame.llm import (  # noqa: F401
     query_chat,
     query_secrets,
+    query_token_files,
     query_topk,
 )
 from pareto_frame.llm.registry import ORACLES, QUERIES  # noqa: F401
