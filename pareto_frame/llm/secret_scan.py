@@ -214,7 +214,8 @@ def find_secrets(
     trigrams = sorted({t for rule in rules for clause in trigram_query(rule) or [] for t in clause})
     index = stored(build_index(docs, trigrams, text, doc_id), "postings").rows
     hits = candidates(index, rules).select(F.col("doc_id").alias("__hit"), F.col("kinds").alias("__kinds"))
-    joined = docs.join(hits, F.col(doc_id).eqNullSafe(F.col("__hit")), "left")
+    # both sides grow with the documents, so the join is shuffled at every size
+    joined = docs.join(hits.hint("merge"), F.col(doc_id).eqNullSafe(F.col("__hit")), "left")
     whole = F.coalesce(F.col(text), F.lit(""))
     by_rule = [
         _spans(whole, rule)
