@@ -2,6 +2,7 @@
 
 from pareto_frame.llm import (  # noqa: F401
     query_chat,
+    query_packing,
     query_secrets,
     query_token_files,
     query_topk,
