@@ -1,6 +1,7 @@
 """Imports every query module, which registers its queries."""
 
 from pareto_frame.llm import (  # noqa: F401
+    query_bpe,
     query_chat,
     query_packing,
     query_secrets,
