@@ -3,6 +3,7 @@
 from pareto_frame.llm import (  # noqa: F401
     query_bpe,
     query_chat,
+    query_hyperminhash,
     query_language,
     query_packing,
     query_secrets,
