@@ -9,5 +9,6 @@ from pareto_frame.llm import (  # noqa: F401
     query_secrets,
     query_token_files,
     query_topk,
+    query_vectors,
 )
 from pareto_frame.llm.registry import ORACLES, QUERIES  # noqa: F401
