@@ -5,6 +5,7 @@ from pareto_frame.llm import (  # noqa: F401
     query_chat,
     query_hyperminhash,
     query_language,
+    query_lines,
     query_packing,
     query_secrets,
     query_token_files,
