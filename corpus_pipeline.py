@@ -1,13 +1,83 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: from ``documents`` to packed training sequences.
+
+Stages, each on all that the one before kept:
+
+1. language: documents whose language is rejected go.
+2. lines: lines that repeat an earlier one, exactly or within one edit, go from the text;
+   documents left without any line go.
+3. near_duplicates: of each group of near-duplicates the document of smallest id stays.
+4. secrets: secrets are replaced by their kind in brackets.
+5. packing: the remaining documents are cut and packed; one row per piece.
+
+``n_chars`` follows the text where it exists. Each stage returns the columns of its input,
+but for the last. Null, empty and repeated rows are treated as the operators say: documents
+without a letter go in stage 1; rows that share a ``doc_id`` stay or go together.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from collections.abc import Callable
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pareto_frame.llm.common import stored
+from pareto_frame.llm.hyperminhash import near_duplicates
+from pareto_frame.llm.language import predict, train
+from pareto_frame.llm.lines import dedup_lines
+from pareto_frame.llm.packing import cut, pack
+from pareto_frame.llm.secret_scan import find_secrets, redact
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+#: No SQL states the language model or the sketches; tests compare with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def _columns(df: DataFrame, like: DataFrame, text: bool = False) -> DataFrame:
+    """The columns of ``like``, with ``n_chars`` counted anew if the text has changed."""
+    counted = F.length("text").cast(dict(like.dtypes).get("n_chars", "long")).alias("n_chars")
+    return df.select(*[counted if text and c == "n_chars" else F.col(f"`{c}`") for c in like.columns])
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _columns(predict(docs, train(docs)).filter(~F.col("rejected")), docs)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    cleaned = dedup_lines(docs)
+    emptied = (F.size("removed") > 0) & (F.trim(F.col("text")) == "")
+    return _columns(cleaned.filter(~F.coalesce(emptied, F.lit(False))), docs, text=True)
+
+
+def near_duplicate_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    gone = near_duplicates(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
+    # both sides grow with the documents, so the join is shuffled at every size
+    return docs.join(gone.hint("merge"), F.col("doc_id") == F.col("__gone"), "left_anti")
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = find_secrets(docs)
+    return _columns(found.withColumn("text", redact(F.col("text"), F.col("secret_spans"))), docs, text=True)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pack(cut(docs, public_tokenizers.path("byte_bpe_50k.json")))
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("language", language),
+    ("lines", lines),
+    ("near_duplicates", near_duplicate_documents),
+    ("secrets", secrets),
+    ("packing", packing),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; each result is written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name).rows
+    return STAGES[-1][1](spark, docs, sf_dir)
