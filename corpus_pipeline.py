@@ -35,20 +35,29 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 ORACLE_SQL = None
 
 
-def _columns(df: DataFrame, like: DataFrame, text: bool = False) -> DataFrame:
-    """The columns of ``like``, with ``n_chars`` counted anew if the text has changed."""
-    counted = F.length("text").cast(dict(like.dtypes).get("n_chars", "long")).alias("n_chars")
-    return df.select(*[counted if text and c == "n_chars" else F.col(f"`{c}`") for c in like.columns])
+def _packed(docs: DataFrame) -> DataFrame:
+    """What operators read, and the whole row beside it, so that no other name can clash with theirs."""
+    return docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
+
+
+def _unpacked(df: DataFrame, docs: DataFrame, changed: bool = False) -> DataFrame:
+    """The columns of ``docs``; if the text has changed, with the new one and its length."""
+    out = {c: F.col("__row").getField(c) for c in docs.columns}
+    if changed:
+        out["text"] = F.col("text")
+        if "n_chars" in out:
+            out["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return df.select(*[column.alias(c) for c, column in out.items()])
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _columns(predict(docs, train(docs)).filter(~F.col("rejected")), docs)
+    return _unpacked(predict(_packed(docs), train(docs)).filter(~F.col("rejected")), docs)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    cleaned = dedup_lines(docs)
+    cleaned = dedup_lines(_packed(docs))
     emptied = (F.size("removed") > 0) & (F.trim(F.col("text")) == "")
-    return _columns(cleaned.filter(~F.coalesce(emptied, F.lit(False))), docs, text=True)
+    return _unpacked(cleaned.filter(~F.coalesce(emptied, F.lit(False))), docs, changed=True)
 
 
 def near_duplicate_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,8 +67,8 @@ def near_duplicate_documents(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = find_secrets(docs)
-    return _columns(found.withColumn("text", redact(F.col("text"), F.col("secret_spans"))), docs, text=True)
+    found = find_secrets(_packed(docs))
+    return _unpacked(found.withColumn("text", redact(F.col("text"), F.col("secret_spans"))), docs, changed=True)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
