@@ -229,7 +229,11 @@ def distinct_rows(spark, folder):
     return cleaning.drop_duplicate_rows(line)
 
 
-_TEXT = "CASE WHEN p_type = 'ECONOMY' THEN p_name ELSE CAST(p_size AS VARCHAR) END"
+_SUFFIXES = ["", "d", "f", "D", "e1", ".5", " ", "x"]
+_TEXT = (
+    "CASE WHEN p_type = 'ECONOMY' THEN p_name WHEN p_size % 9 = 0 THEN '0x1p3' WHEN p_size % 10 = 0 THEN '' "
+    f"ELSE CAST(p_size AS VARCHAR) || ({_SUFFIXES})[p_partkey % {len(_SUFFIXES)} + 1] END"
+)
 
 
 @register(
@@ -238,8 +242,12 @@ _TEXT = "CASE WHEN p_type = 'ECONOMY' THEN p_name ELSE CAST(p_size AS VARCHAR) E
 )
 def coerced(spark, folder):
     part = table(spark, folder, "part")
-    text = F.when(F.col("p_type") == "ECONOMY", F.col("p_name")).otherwise(
-        F.col("p_size").cast("string")
+    suffix = F.get(F.array(*map(F.lit, _SUFFIXES)), (F.col("p_partkey") % len(_SUFFIXES)).cast("int"))
+    text = (
+        F.when(F.col("p_type") == "ECONOMY", F.col("p_name"))
+        .when(F.col("p_size") % 9 == 0, "0x1p3")
+        .when(F.col("p_size") % 10 == 0, "")
+        .otherwise(F.concat(F.col("p_size").cast("string"), suffix))
     )
     return cleaning.coerce_numeric(part.select("p_partkey", text.alias("size")), ["size"])
 

@@ -174,9 +174,10 @@ def cross_cell(spark, folder):
 def union_of_parts(spark, folder):
     rows = table(spark, folder, "lineitem")
     kept = ["l_orderkey", "l_linenumber", *MEASURES]
+    first = F.col("l_linestatus").eqNullSafe("F")
     halves = [
         skyline(rows.filter(condition).select(*kept), line_dims())
-        for condition in (F.col("l_linestatus") == "F", F.col("l_linestatus") != "F")
+        for condition in (first, ~first)
     ]
     return skyline(halves[0].unionByName(halves[1]), line_dims())
 
@@ -198,6 +199,78 @@ def seeded(spark, folder):
     return seeded_skyline(part(spark, folder), PART_DIMS, seed)
 
 
+# Seeds with nulls, copies, and tuples that the rows have too; part has no null, so sizes divisible by 7 count as null.
+_ODD_SEED = [(-1, 3, 905.0), (-2, None, 901.0), (-3, None, 901.0), (-4, 50, None), (-5, 3, 905.0)]
+_ODD_PART = "(SELECT p_partkey, CASE WHEN p_size % 7 > 0 THEN p_size END AS p_size, p_retailprice FROM part)"
+_ODD_SEED_SQL = "seed(p_partkey, p_size, p_retailprice) AS (VALUES " + str(_ODD_SEED)[1:-1].replace("None", "NULL") + ")"
+_SEEDED_NULLS = f"""
+    WITH {_ODD_SEED_SQL}, odd AS {_ODD_PART}, rivals AS (SELECT * FROM odd UNION ALL SELECT * FROM seed)
+    SELECT * FROM seed UNION ALL
+    SELECT * FROM odd p WHERE p_size IS NULL OR p_retailprice IS NULL OR {not_exists("rivals", PART_DIMS)}
+"""
+
+
+def _odd(spark, folder):
+    size = F.when(F.col("p_size") % 7 > 0, F.col("p_size"))
+    seed = from_rows(spark, _ODD_SEED, "p_partkey bigint, p_size int, p_retailprice double")
+    return part(spark, folder).withColumn("p_size", size), seed
+
+
+@register("G6_seeded_nulls", _SEEDED_NULLS)
+def seeded_nulls(spark, folder):
+    rows, seed = _odd(spark, folder)
+    return seeded_skyline(rows, PART_DIMS, seed, nulls="keep")
+
+
+@register("G6_seeded_nulls_joined", _SEEDED_NULLS)
+def seeded_nulls_joined(spark, folder):
+    rows, seed = _odd(spark, folder)
+    return seeded_skyline(rows, PART_DIMS, seed, nulls="keep", broadcast_rows=0)
+
+
+@register(
+    "G6_seeded_distinct_nulls",
+    f"""
+    WITH {_ODD_SEED_SQL}, odd AS {_ODD_PART}, rivals AS (SELECT * FROM odd UNION ALL SELECT * FROM seed)
+    SELECT DISTINCT p_size, p_retailprice FROM (SELECT * FROM seed UNION ALL
+    SELECT * FROM odd p WHERE p_size IS NULL OR p_retailprice IS NULL OR {not_exists("rivals", PART_DIMS)})
+    """,
+)
+def seeded_distinct_nulls(spark, folder):
+    rows, seed = _odd(spark, folder)
+    return seeded_skyline(rows, PART_DIMS, seed, nulls="keep", ties="distinct")
+
+
+@register(
+    "G6_seeded_expression",
+    f"""
+    WITH {_SEED_SQL}, rivals AS (SELECT *, 0 - p_size AS size FROM (SELECT {", ".join(PART)} FROM part UNION ALL SELECT * FROM seed)),
+    mine AS (SELECT {", ".join(PART)}, 0 - p_size AS size FROM part)
+    SELECT * FROM seed UNION ALL SELECT * EXCLUDE (size) FROM mine p
+    WHERE {not_exists("rivals", ["size", "p_retailprice"])}
+    """,
+)
+def seeded_expression(spark, folder):
+    seed = from_rows(spark, _SEED, "p_partkey bigint, p_size int, p_retailprice double")
+    dims = [0 - F.col("p_size"), "p_retailprice"]
+    return seeded_skyline(part(spark, folder), dims, seed, broadcast_rows=0)
+
+
+@register(
+    "G6_seeded_first_of_each",
+    f"""
+    WITH {_SEED_SQL}, rows AS (SELECT p_partkey, p_size, floor(p_retailprice / 100) AS p_retailprice FROM part),
+    rivals AS (SELECT * FROM rows UNION ALL SELECT * FROM seed)
+    SELECT * FROM seed UNION ALL SELECT max(p_partkey) AS p_partkey, p_size, p_retailprice FROM rows p
+    WHERE {not_exists("rivals", PART_DIMS)} GROUP BY p_size, p_retailprice
+    """,
+)
+def seeded_first(spark, folder):
+    seed = from_rows(spark, _SEED, "p_partkey bigint, p_size int, p_retailprice double")
+    rows = part(spark, folder).withColumn("p_retailprice", F.floor(F.col("p_retailprice") / 100).cast("double"))
+    return seeded_skyline(rows, PART_DIMS, seed, ties="distinct", tie_break=[-F.col("p_partkey")])
+
+
 @register("G7_parallel_merge", _MIXED_SKY)
 def parallel_merge(spark, folder):
     """Local skylines per priority, each tested against all of them."""
@@ -291,6 +364,67 @@ def given_representatives(spark, folder):
     return skyline(rows, ORDER_DIMS, "representatives", given=given)
 
 
+@register(
+    "H10_given_one_dimension",
+    "SELECT p_partkey, p_retailprice FROM part WHERE p_retailprice = (SELECT min(p_retailprice) FROM part)"
+    " AND p_retailprice <= 900.5",
+)
+def given_one_dimension(spark, folder):
+    """A supplied point that is not in the data beats every row that is worse."""
+    rows = part(spark, folder).select("p_partkey", "p_retailprice")
+    given = from_rows(spark, [(900.5,)], "price double")
+    return skyline(rows, ["p_retailprice"], "representatives", given=given)
+
+
+_TEXT_DIMS = ["p_brand", "p_type"]
+_GIVEN_TEXT = [("Brand#2", "AAA")]
+
+
+@register(
+    "H10_given_text",
+    f"""
+    WITH given(p_brand, p_type) AS (VALUES {str(_GIVEN_TEXT)[1:-1]}),
+    rest AS (SELECT p_partkey, p_brand, p_type FROM part p WHERE {not_exists("given", _TEXT_DIMS)})
+    SELECT * FROM rest p WHERE {not_exists("rest", _TEXT_DIMS)}
+    """,
+)
+def given_text(spark, folder):
+    rows = table(spark, folder, "part").select("p_partkey", *_TEXT_DIMS)
+    given = from_rows(spark, _GIVEN_TEXT, "brand string, type string")
+    return skyline(rows, _TEXT_DIMS, "representatives", given=given)
+
+
+# many dimensions: all of them take part in every key
+
+_WIDE = 10
+_WIDE_DIMS = [f"v{i}" for i in range(_WIDE)]
+_WIDE_ROWS = (
+    "(SELECT vec_id, "
+    + ", ".join(f"floor(embedding[{i + 1}]::DOUBLE * 8)::BIGINT AS v{i}" for i in range(_WIDE))
+    + " FROM embeddings)"
+)
+
+
+def _wide(strategy, spark, folder):
+    rows = table(spark, folder, "embeddings").select(
+        "vec_id",
+        *[
+            F.floor(F.get("embedding", F.lit(i)).cast("double") * 8).cast("bigint").alias(f"v{i}")
+            for i in range(_WIDE)
+        ],
+    )
+    return skyline(rows, _WIDE_DIMS, strategy)
+
+
+for _number, _strategy in [
+    (7, "angular"), (9, "grid_filter"), (10, "representatives"), (11, "three_phase"), (12, "grid"), (13, "grid_parallel"),
+]:
+    register(
+        f"H{_number}_{_strategy}_10_dimensions",
+        f"WITH w AS {_WIDE_ROWS} SELECT * FROM w p WHERE {not_exists('w', _WIDE_DIMS)}",
+    )(partial(_wide, _strategy))
+
+
 # ties
 
 _BUCKETED = "(SELECT p_partkey, p_size, CAST(floor(p_retailprice / 100) AS BIGINT) AS step FROM part)"

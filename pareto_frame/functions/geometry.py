@@ -15,6 +15,9 @@ TWO_OVER_PI = 0.636619772
 ZERO_DIVISOR = 0.0001
 HALF_OPEN_FACTOR = 0.999999
 
+# Type of ids that a bigint cannot hold.
+WIDE_ID = "decimal(38,0)"
+
 
 def squared_norm(xs: Sequence[Column]) -> Column:
     return reduce(add, [x * x for x in xs])
@@ -42,10 +45,17 @@ def angles(xs: Sequence[Column]) -> list[Column]:
     return [F.atan(r) for r in angle_ratios(xs)]
 
 
+def angular_digits(xs: Sequence[Column], slices: int) -> list[Column]:
+    """Slice of each of the d-1 angles."""
+    return [F.floor(a * F.lit(TWO_OVER_PI * slices)) for a in angles(xs)]
+
+
 def angular_bucket(xs: Sequence[Column], slices: int) -> Column:
-    """Mixed-radix id of the angular slice; 0 for a single dimension."""
-    digits = [F.floor(a * F.lit(TWO_OVER_PI * slices)) for a in angles(xs)]
-    return _mixed_radix(digits, slices)
+    """Mixed-radix id of the angular slice; 0 for a single dimension.
+
+    The id is a bigint, or a decimal where a bigint cannot hold ``slices ** (d-1)`` ids.
+    """
+    return _mixed_radix(angular_digits(xs, slices), slices)
 
 
 def grid_coordinate(x: Column, slices: int) -> Column:
@@ -58,12 +68,21 @@ def grid_coordinates(xs: Sequence[Column], slices: int) -> list[Column]:
 
 
 def cell_id(coordinates: Sequence[Column], slices: int) -> Column:
+    """Mixed-radix id of the cell: a bigint, or a decimal where a bigint cannot hold all ids."""
     return _mixed_radix(coordinates, slices)
 
 
 def cell_digits(cell: Column, dims: int, slices: int) -> list[Column]:
-    """Coordinates of a cell id."""
-    return [F.pmod(F.floor(cell / F.lit(slices**j)), F.lit(slices)) for j in range(dims)]
+    """Coordinates of a cell id, in whole numbers throughout."""
+    if slices**dims <= 2**63:
+        power = lambda j: F.lit(slices**j).cast("bigint")
+    else:
+        power = lambda j: F.lit(str(slices**j)).cast(WIDE_ID)
+    digits = []
+    for j in range(dims):
+        below = F.pmod(cell, power(j + 1)) if j + 1 < dims else cell
+        digits.append(F.call_function("div", below, power(j)).cast("bigint"))
+    return digits
 
 
 def cell_upper_corner(cell: Column, dims: int, slices: int) -> list[Column]:
@@ -107,5 +126,17 @@ def as_number(x: Column, dtype: T.DataType) -> Column:
 
 
 def _mixed_radix(digits: Sequence[Column], base: int) -> Column:
-    terms = [d.cast("bigint") * F.lit(base**i).cast("bigint") for i, d in enumerate(digits)]
-    return reduce(add, terms, F.lit(0).cast("bigint"))
+    ids = base ** len(digits)
+    if ids <= 2**63:
+        terms = [d.cast("bigint") * F.lit(base**i).cast("bigint") for i, d in enumerate(digits)]
+        return reduce(add, terms, F.lit(0).cast("bigint"))
+    if ids > 10**38:
+        raise ValueError(
+            f"{len(digits)} coordinates with slices={base} make more ids than a decimal holds;"
+            " use fewer slices, or the coordinates themselves as key"
+        )
+    # the largest partial sum is below 10^38, so the cast after each step loses nothing
+    total = F.lit(0).cast(WIDE_ID)
+    for d in reversed(digits):
+        total = (total * F.lit(base) + d).cast(WIDE_ID)
+    return total

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pareto_frame.functions.geometry import finite, rescale, squared_norm
+from pareto_frame.functions.geometry import as_number, finite, rescale, squared_norm
 
 
 def keep_measures(
@@ -28,15 +28,23 @@ def drop_duplicate_rows(df: DataFrame, columns: Sequence[str] | None = None) ->
     return df.dropDuplicates(list(columns)) if columns else df.distinct()
 
 
+# What is read as a number: decimal notation with an optional exponent, or a named value.
+NUMBER = r"(?i)^\s*[+-]?(\d+(\.\d*)?([eE][+-]?\d+)?|\.\d+([eE][+-]?\d+)?|inf|infinity|nan)\s*$"
+
+
 def coerce_numeric(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Read text as double; text that is no number becomes null."""
+    """Read text as double; text that is no number becomes null.
+
+    Type suffixes (``1d``, ``2.5F``) and hexadecimal notation are no numbers.
+    """
     chosen = set(columns or df.columns)
-    return df.select(
-        *[
-            quoted(c).try_cast("double").alias(c) if c in chosen else quoted(c)
-            for c in df.columns
-        ]
-    )
+    texts = {f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)}
+
+    def number(c: str) -> Column:
+        value = quoted(c).try_cast("double")
+        return F.when(quoted(c).rlike(NUMBER), value) if c in texts else value
+
+    return df.select(*[number(c).alias(c) if c in chosen else quoted(c) for c in df.columns])
 
 
 def drop_incomplete(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -53,7 +61,7 @@ def extent(df: DataFrame, dims: Sequence[str], per_dim: bool = False) -> DataFra
 
     Infinite values and NaN do not take part.
     """
-    xs = [finite(F.col(c).cast("double")) for c in dims]
+    xs = [finite(x) for x in _numbers(df, dims)]
     los, his = [F.min(x) for x in xs], [F.max(x) for x in xs]
     if per_dim:
         named = [lo.alias(f"lo_{i}") for i, lo in enumerate(los)]
@@ -63,6 +71,12 @@ def extent(df: DataFrame, dims: Sequence[str], per_dim: bool = False) -> DataFra
     return df.agg(lo.alias("lo"), hi.alias("hi"))
 
 
+def _numbers(df: DataFrame, dims: Sequence[str]) -> list[Column]:
+    """The columns as doubles, also dates and times."""
+    types = {f.name: f.dataType for f in df.schema.fields}
+    return [as_number(quoted(c), types[c]) for c in dims]
+
+
 def normalise(
     df: DataFrame, dims: Sequence[str], half_open: bool = False, per_dim: bool = False
 ) -> DataFrame:
@@ -73,9 +87,8 @@ def normalise(
     """
     bounds = extent(df, dims, per_dim).first()
     scaled = {}
-    for i, c in enumerate(dims):
+    for i, (c, x) in enumerate(zip(dims, _numbers(df, dims), strict=True)):
         lo, hi = (f"lo_{i}", f"hi_{i}") if per_dim else ("lo", "hi")
-        x = F.col(c).cast("double")
         scaled[c] = rescale(x, F.lit(bounds[lo] or 0.0), F.lit(bounds[hi] or 0.0), half_open)
     return df.withColumns(scaled)
 
@@ -84,7 +97,7 @@ def annulus(
     df: DataFrame, dims: Sequence[str | Column], inner: float = 0.0, outer: float = 0.2
 ) -> DataFrame:
     """Rows whose distance to the origin is within both radii, ends included."""
-    xs = [F.col(c) if isinstance(c, str) else c for c in dims]
+    xs = [quoted(c) if isinstance(c, str) else c for c in dims]
     return df.filter(squared_norm(xs).between(F.lit(inner * inner), F.lit(outer * outer)))
 
 

@@ -8,6 +8,7 @@ their parameters, everything else is counted first.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import ceil
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,7 +19,7 @@ from pareto_frame.functions.dominance import (
     strictly_dominates,
     weakly_dominates,
 )
-from pareto_frame.session import materialise
+from pareto_frame.session import Phase, materialise
 
 BROADCAST_ROWS = 100_000
 SEMI_BROADCAST_VALUES = 4_000_000
@@ -51,6 +52,19 @@ def survivors(
     return rows.join(F.broadcast(as_rivals(rivals, dims)), condition, "left_anti")
 
 
+def survivors_of_many(
+    rows: DataFrame, dims: Sequence[str], rivals: Phase, limit: int = BROADCAST_ROWS
+) -> DataFrame:
+    """``survivors`` for any number of rivals: one pass for each share of at most ``limit``."""
+    shares = max(1, ceil(rivals.count / max(1, limit)))
+    if shares == 1:
+        return survivors(rows, dims, rivals.rows)
+    share = F.pmod(F.xxhash64(*dims), F.lit(shares))
+    for i in range(shares):
+        rows = survivors(rows, dims, rivals.rows.filter(share == i))
+    return rows
+
+
 def minimal_partners(rows: DataFrame, dims: Sequence[str]) -> DataFrame:
     """Fewer rows with the same dominating power.
 
@@ -63,23 +77,40 @@ def minimal_partners(rows: DataFrame, dims: Sequence[str]) -> DataFrame:
     return rows.groupBy(*head).agg(F.min(last).alias(last))
 
 
-def surviving_cells(cells: DataFrame, coordinates: Sequence[str]) -> DataFrame:
-    """Occupied cells that no other occupied cell totally dominates."""
-    rivals = as_rivals(minimal_partners(cells, coordinates), coordinates)
+def surviving_cells(
+    cells: DataFrame, coordinates: Sequence[str], limit: int = BROADCAST_ROWS
+) -> DataFrame:
+    """Occupied cells that no other occupied cell totally dominates.
+
+    Cells are compared with shares of at most ``limit`` of the cells that matter as dominators.
+    """
+    partners = materialise(minimal_partners(cells, coordinates))
     condition = cell_totally_dominates(columns(rival_names(coordinates)), columns(coordinates))
-    return cells.join(F.broadcast(rivals), condition, "left_anti")
+    shares = max(1, ceil(partners.count / max(1, limit)))
+    share = F.pmod(F.xxhash64(*coordinates), F.lit(shares))
+    for i in range(shares):
+        rivals = as_rivals(partners.rows.filter(share == i), coordinates)
+        cells = cells.join(F.broadcast(rivals), condition, "left_anti")
+    return cells
 
 
 def matching_rows(
-    df: DataFrame, exprs: Sequence[Column], tuples: DataFrame, names: Sequence[str], at_most: int
+    df: DataFrame,
+    exprs: Sequence[Column],
+    tuples: DataFrame,
+    names: Sequence[str],
+    at_most: int | None,
 ) -> DataFrame:
     """All rows of ``df`` whose dimension values are among ``tuples``.
 
+    ``at_most`` bounds the number of tuples; without it they are counted. The input is read
+    again to find its rows by value, so it has to give the same values each time.
+
     Beyond the broadcast bound one value may still hold a large share of the
     rows, so rows are salted by their scan partition and the tuples repeated.
     """
     bound = SEMI_BROADCAST_VALUES // len(names)
-    if at_most > bound:
+    if at_most is None or at_most > bound:
         phase = materialise(tuples)
         tuples, at_most = phase.rows, phase.count
     same = every([e == F.col(n) for e, n in zip(exprs, names, strict=True)])

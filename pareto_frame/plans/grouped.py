@@ -35,22 +35,24 @@ def skyline_by(
     """
     names, exprs = resolve_dims(df, dims)
     xs = [f"__sky_x{i}" for i in range(len(exprs))]
+    ks = [f"__sky_k{i}" for i in range(len(keys))]
     narrow = df.select(
-        *[quoted(k) for k in keys], *[e.alias(x) for e, x in zip(exprs, xs, strict=True)]
+        *[quoted(k).alias(c) for k, c in zip(keys, ks, strict=True)],
+        *[e.alias(x) for e, x in zip(exprs, xs, strict=True)],
     ).filter(every([F.col(x).isNotNull() for x in xs]))
     types = [f.dataType for f in narrow.schema.fields[len(keys) :]]
     if not all(supports(t) for t in types):
-        merged = global_skyline(materialise(narrow.distinct()), xs, keys, broadcast_rows)
+        merged = global_skyline(materialise(narrow.distinct()), xs, ks, broadcast_rows)
     else:
-        local = local_skyline(narrow, xs, keys)
+        local = local_skyline(narrow, xs, ks)
         if strategy == "aggregate":
-            merged = skyline_aggregate(local, xs, keys, limit=broadcast_rows)
+            merged = skyline_aggregate(local, xs, ks, limit=broadcast_rows)
         elif strategy == "auto":
             n = partitions or default_partitions(df)
-            laid = local.repartition(n, *[quoted(k) for k in keys], *xs)
-            candidates = materialise(local_skyline(laid, xs, keys))
-            merged = global_skyline(candidates, xs, keys, broadcast_rows)
+            laid = local.repartition(n, *ks, *xs)
+            candidates = materialise(local_skyline(laid, xs, ks))
+            merged = global_skyline(candidates, xs, ks, broadcast_rows)
         else:
             raise ValueError("strategy is 'auto' or 'aggregate'")
-    named = [F.col(x).alias(n) for x, n in zip(xs, names, strict=True)]
-    return merged.select(*[quoted(k) for k in keys], *named)
+    back = [*zip(ks, keys, strict=True), *zip(xs, names, strict=True)]
+    return merged.select(*[F.col(c).alias(n) for c, n in back])

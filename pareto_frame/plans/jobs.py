@@ -9,13 +9,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pareto_frame.functions.dominance import every
 from pareto_frame.functions.geometry import cell_id, grid_coordinates
 from pareto_frame.operators.aggregates import best_representatives
-from pareto_frame.operators.cleaning import normalise
-from pareto_frame.operators.joins import survivors
+from pareto_frame.operators.joins import BROADCAST_ROWS, survivors
 from pareto_frame.plans.grouped import skyline_by
-from pareto_frame.plans.skyline import STRATEGIES, resolve_dims, skyline
-from pareto_frame.session import materialise
+from pareto_frame.plans.skyline import STRATEGIES, Input, resolve_dims, skyline
+from pareto_frame.session import default_partitions, materialise
 
 
 def phase_counts(
@@ -26,23 +26,22 @@ def phase_counts(
     Local skylines are those of grid cells, so that the counts depend on the
     data alone and not on how it is partitioned.
     """
-    names, exprs = resolve_dims(df, dims)
-    rows = df.select(*exprs).na.drop("any")
-    scaled_names = [f"__sky_s{i}" for i in range(len(names))]
-    copies = {s: F.col(n).cast("double") for s, n in zip(scaled_names, names, strict=True)}
-    scaled = normalise(rows.withColumns(copies), scaled_names, per_dim=True)
-    units = [F.col(s) for s in scaled_names]
+    _, exprs = resolve_dims(df, dims)
+    xs = [f"__sky_x{i}" for i in range(len(exprs))]
+    narrow = df.select(*[e.alias(x) for e, x in zip(exprs, xs, strict=True)])
+    rows = narrow.filter(every([F.col(x).isNotNull() for x in xs]))
+    types = [f.dataType for f in narrow.schema.fields]
+    units = Input(rows, xs, types, default_partitions(df), BROADCAST_ROWS).unit()
 
-    points = best_representatives(scaled, names, units, per_dim)
-    strongest = materialise(points.select(*names).distinct())
-    filtered = survivors(scaled, names, strongest.rows)
+    points = best_representatives(rows, xs, units, per_dim)
+    strongest = materialise(points.select(*xs).distinct())
     cell = cell_id(grid_coordinates(units, slices), slices).alias("cell")
-    filtered = filtered.select(cell, *names)
+    filtered = survivors(rows, xs, strongest.rows).select(cell, *xs)
     counts = [
         rows.agg(F.count(F.lit(1)).alias("n_rows")),
         filtered.agg(F.count(F.lit(1)).alias("n_filtered")),
-        skyline_by(filtered, ["cell"], names).agg(F.count(F.lit(1)).alias("n_local")),
-        skyline(filtered, names, ties="distinct").agg(F.count(F.lit(1)).alias("n_skyline")),
+        skyline_by(filtered, ["cell"], xs).agg(F.count(F.lit(1)).alias("n_local")),
+        skyline(filtered, xs, ties="distinct").agg(F.count(F.lit(1)).alias("n_skyline")),
     ]
     found = {c.columns[0]: c.first()[0] for c in counts}
     return df.sparkSession.createDataFrame(

@@ -19,9 +19,8 @@ from pyspark.sql import types as T
 
 from pareto_frame.functions.dominance import every, some
 from pareto_frame.functions.geometry import (
-    angular_bucket,
+    angular_digits,
     as_number,
-    cell_id,
     finite,
     grid_coordinates,
     has_number,
@@ -42,17 +41,15 @@ from pareto_frame.operators.joins import (
     minimal_partners,
     surviving_cells,
     survivors,
+    survivors_of_many,
 )
 from pareto_frame.operators.local import local_skyline, supports
 from pareto_frame.operators.merge import block_merge, cut_into_blocks, global_skyline
 from pareto_frame.session import Phase, default_partitions, materialise
 
-MAX_CELLS = 32_768
 FEW_ROWS = 10_000
-# Angles or grid coordinates in a partition key; more would not make it finer,
-# since partitions are far fewer than keys.
-LAYOUT_COORDINATES = 6
-MOST_VOLUME_DIMENSIONS = 9
+# Cells up to this number are shipped to every task in a semi-join; more are shuffled.
+BROADCAST_CELLS = 32_768
 
 
 @dataclass(frozen=True)
@@ -157,12 +154,7 @@ def skyline(
         partitions or default_partitions(df),
         broadcast_rows,
     )
-    plan = STRATEGIES[strategy]
-    if plan is not _sql and not all(supports(t) and has_number(t) for t in source.types):
-        plan, options = _sql, {}
-    if len(xs) == 1:
-        plan, options = _minimum, {}
-    found = plan(source, **options)
+    found = find_tuples(source, strategy, **options)
 
     if ties == "distinct" and not tie_break:
         tuples = found.rows
@@ -172,12 +164,40 @@ def skyline(
         return tuples.select(*[F.col(x).alias(n) for x, n in zip(xs, names, strict=True)])
     rows = matching_rows(df, exprs, found.rows, xs, found.at_most)
     if ties == "distinct":
-        rows = _first_of_each(rows, exprs, tie_break)
+        rows = first_of_each(rows, exprs, tie_break)
     if nulls == "keep":
         rows = rows.unionByName(df.filter(some([e.isNull() for e in exprs])))
     return rows
 
 
+def find_tuples(source: Input, strategy: str, given: DataFrame | None = None, **options) -> Tuples:
+    """The distinct skyline tuples of complete rows.
+
+    ``given`` points (only for ``representatives``) drop what they dominate before any plan is
+    chosen, so the rows do not depend on the number or the types of the dimensions.
+    """
+    plan = STRATEGIES[strategy]
+    if given is not None:
+        if plan is not _representatives:
+            raise ValueError("given belongs to the strategy 'representatives'")
+        source, plan, options = _without_dominated(source, given), _sfs_range, {}
+    if len(source.xs) == 1:
+        return _minimum(source)
+    if not all(supports(t) and has_number(t) for t in source.types):
+        return _sql(source)
+    return plan(source, **options)
+
+
+def _without_dominated(source: Input, given: DataFrame) -> Input:
+    named = [quoted(c).alias(x) for c, x in zip(given.columns, source.xs, strict=True)]
+    complete = every([F.col(x).isNotNull() for x in source.xs])
+    points = replace(source, rows=given.select(*named).filter(complete), extent=None)
+    types = [f.dataType for f in points.rows.schema.fields]
+    strongest = find_tuples(replace(points, types=types), "auto")
+    rivals = materialise(strongest.rows)
+    return source.having(survivors_of_many(source.rows, source.xs, rivals, source.limit))
+
+
 def resolve_dims(
     df: DataFrame, dims: Sequence[str | Column] | None
 ) -> tuple[list[str], list[Column]]:
@@ -188,7 +208,7 @@ def resolve_dims(
     return df.select(*exprs).columns, exprs
 
 
-def _first_of_each(rows: DataFrame, exprs: Sequence[Column], tie_break) -> DataFrame:
+def first_of_each(rows: DataFrame, exprs: Sequence[Column], tie_break) -> DataFrame:
     order = [quoted(c) if isinstance(c, str) else c for c in tie_break]
     order += [quoted(c) for c in rows.columns]
     rank = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])
@@ -262,10 +282,10 @@ def _bnl(source: Input) -> Tuples:
 
 
 def _sfs(source: Input) -> Tuples:
-    """Sorted pass on the partitions as they are."""
-    ordered = source.rows.sortWithinPartitions(source.score(), *source.xs)
-    local = local_skyline(ordered, source.xs, presorted=True)
-    return _merged(source, materialise(_distinct(source, local)))
+    """Pass sorted by a monotone score, on what a first pass leaves of the partitions."""
+    first = source.having(materialise(_distinct(source, _combined(source))).rows)
+    ordered = first.rows.sortWithinPartitions(first.score(), *source.xs)
+    return _merged(source, materialise(local_skyline(ordered, source.xs, presorted=True)))
 
 
 def _sfs_range(source: Input) -> Tuples:
@@ -288,7 +308,8 @@ def _angular(source: Input, slices: int = 32) -> Tuples:
 
 
 def _angle_key(unit: list[Column], slices: int) -> Column:
-    return angular_bucket(unit[: LAYOUT_COORDINATES + 1], slices)
+    """All angles, as an array: an orderable key for any number of dimensions."""
+    return F.array(*angular_digits(unit, slices))
 
 
 def _radius_angular(source: Input, radius: float = 0.5, slices: int = 32) -> Tuples:
@@ -306,8 +327,7 @@ def _radius_angular(source: Input, radius: float = 0.5, slices: int = 32) -> Tup
     ranges = partitioning.by_first_dimension(inside, source.xs, source.partitions)
     core = materialise(local_skyline(ranges, source.xs, presorted=True))
     seed = materialise(global_skyline(core, source.xs, limit=source.limit))
-    if seed.count <= source.limit:
-        outside = survivors(outside, source.xs, seed.rows)
+    outside = survivors_of_many(outside, source.xs, seed, source.limit)
     outer = _keyed_candidates(first.having(outside), _angle_key(unit, slices))
     both = Phase(seed.rows.unionByName(outer.rows), seed.count + outer.count)
     return _merged(source, both)
@@ -317,104 +337,75 @@ def _grid_filter(
     source: Input, slices: int = 32, keep_going: float = 0.8, rounds: int = 4
 ) -> Tuples:
     """Drop rows in dominated cells, again on a finer scale while that pays."""
-    slices, coordinates = _fitting(slices, len(source.xs), MAX_CELLS)
-    if coordinates < len(source.xs):
-        # too many dimensions for a grid: a cell would need all of them to dominate
-        return _sfs_range(source)
-    current, size = source, None
+    first = materialise(_distinct(source, _combined(source)))
     for _ in range(rounds):
-        current = replace(current, extent=None)
-        if size is not None and current.count > keep_going * size:
+        size = first.count
+        current = replace(source, rows=first.rows, extent=None)
+        first = materialise(_in_surviving_cells(current, slices))
+        if first.count > keep_going * size:
             break
-        size = current.count
-        current = replace(current, rows=_in_surviving_cells(current, slices))
-    return _sfs_range(current)
+    return _from_ranges(source, first)
 
 
 def _in_surviving_cells(source: Input, slices: int) -> DataFrame:
     names = [f"__sky_c{i}" for i in range(len(source.xs))]
     coordinates = grid_coordinates(source.unit(half_open=True), slices)
     placed = [c.alias(n) for c, n in zip(coordinates, names, strict=True)]
-    cells = surviving_cells(occupied_cells(source.rows.select(*placed), names), names)
-    # at most MAX_CELLS cells
-    alive = F.broadcast(materialise(cells).rows)
+    occupied = occupied_cells(source.rows.select(*placed), names)
+    alive = materialise(surviving_cells(occupied, names, source.limit))
+    cells = F.broadcast(alive.rows) if alive.count <= BROADCAST_CELLS else alive.rows
     same = every([c == F.col(n) for c, n in zip(coordinates, names, strict=True)])
-    return source.rows.join(alive, same, "left_semi")
-
-
-def _fitting(slices: int, digits: int, most: int) -> tuple[int, int]:
-    """Fewer slices, then fewer coordinates, until there are at most ``most`` cells."""
-    while slices > 2 and slices**digits > most:
-        slices -= 1
-    while slices**digits > most:
-        digits -= 1
-    return slices, digits
+    return source.rows.join(cells, same, "left_semi")
 
 
 def _representative_filter(source: Input, per_dim: int) -> DataFrame:
-    if len(source.xs) > MOST_VOLUME_DIMENSIONS:
-        # no point dominates a volume worth filtering by
-        return source.rows
     points = best_representatives(source.rows, source.xs, source.unit(), per_dim)
     # at most dims * per_dim points
     strongest = materialise(points.select(*source.xs).distinct()).rows
     return survivors(source.rows, source.xs, survivors(strongest, source.xs, strongest))
 
 
-def _representatives(
-    source: Input, per_dim: int = 10, given: DataFrame | None = None
-) -> Tuples:
-    """Filter by a few points with large dominated volume, then sorted ranges.
+def _representatives(source: Input, per_dim: int = 10) -> Tuples:
+    """What a first pass leaves, filtered by a few points with large dominated volume; sorted ranges.
 
-    ``given`` supplies the points instead, in the order of the dimensions.
+    The option ``given`` supplies the points instead, in the order of the dimensions; see
+    ``find_tuples``.
     """
-    if given is None:
-        return _sfs_range(source.having(_representative_filter(source, per_dim)))
-    named = [quoted(c).alias(x) for c, x in zip(given.columns, source.xs, strict=True)]
-    points = materialise(given.select(*named).na.drop("any").distinct())
-    if points.count <= source.limit:
-        best = survivors(points.rows, source.xs, points.rows)
-        return _sfs_range(source.having(survivors(source.rows, source.xs, best)))
-    # too many to ship: they compete, and only tuples of the input are returned
-    found = _sfs_range(source.having(source.rows.unionByName(points.rows)))
-    own = found.rows.join(source.rows.distinct(), source.xs, "left_semi")
-    return Tuples(own, found.at_most)
+    first = source.having(materialise(_distinct(source, _combined(source))).rows)
+    return _from_ranges(source, materialise(_representative_filter(first, per_dim)))
 
 
 def _three_phase(source: Input, per_dim: int = 10) -> Tuples:
-    """Sorted slices, filtered by representatives, with a parallel merge."""
+    """Filtered by representatives, sorted slices, with a parallel merge."""
     first = source.having(materialise(_distinct(source, _combined(source))).rows)
-    ranges = partitioning.by_first_dimension(first.rows, source.xs, source.partitions)
-    kept = _representative_filter(first.having(ranges), per_dim)
-    ordered = kept.sortWithinPartitions(*source.xs)
-    return _merged(source, materialise(local_skyline(ordered, source.xs, presorted=True)))
+    kept = _representative_filter(first, per_dim)
+    ranges = partitioning.by_first_dimension(kept, source.xs, source.partitions)
+    return _merged(source, materialise(local_skyline(ranges, source.xs, presorted=True)))
 
 
 def _grid(source: Input, slices: int = 2) -> Tuples:
-    """Partitions by grid cell."""
+    """Partitions by grid cell; the key is the array of all coordinates."""
     first = source.having(materialise(_distinct(source, _combined(source))).rows)
-    slices, used = _fitting(slices, min(len(source.xs), LAYOUT_COORDINATES), MAX_CELLS)
-    cell = cell_id(grid_coordinates(first.unit(half_open=True)[:used], slices), slices)
+    cell = F.array(*grid_coordinates(first.unit(half_open=True), slices))
     return _merged(source, _keyed_candidates(first, cell))
 
 
 def _grid_parallel(source: Input, slices: int = 2) -> Tuples:
     """Dominated cells dropped, one skyline per cell, cells refined by their neighbours."""
-    slices, used = _fitting(slices, min(len(source.xs), LAYOUT_COORDINATES), MAX_CELLS)
-    alive = source
-    if used == len(source.xs):
-        alive = source.having(_in_surviving_cells(source, slices))
-    names = [f"__sky_c{i}" for i in range(used)]
-    coordinates = grid_coordinates(source.unit(half_open=True)[:used], slices)
-    placed = alive.rows.select(
+    first = source.having(materialise(_distinct(source, _combined(source))).rows)
+    alive = _in_surviving_cells(first, slices)
+    names = [f"__sky_c{i}" for i in range(len(source.xs))]
+    coordinates = grid_coordinates(first.unit(half_open=True), slices)
+    placed = alive.select(
         *source.xs, *[c.alias(n) for c, n in zip(coordinates, names, strict=True)]
     )
-    # the coordinates are keys of the local passes: cells do not compete there
-    local = local_skyline(placed, source.xs, keys=names)
-    cell = cell_id(columns(names), slices)
-    laid = materialise(local)
-    laid = partitioning.by_key(laid.rows, cell, source.xs, source.partitions)
+    cell = F.array(*columns(names))
+    laid = partitioning.by_key(placed, cell, source.xs, source.partitions)
+    # the coordinates are keys of the local pass: cells do not compete there
     candidates = materialise(local_skyline(laid, source.xs, keys=names))
+    if candidates.count <= source.limit:
+        merged = global_skyline(candidates, source.xs, limit=source.limit)
+        return Tuples(merged.select(*source.xs), candidates.count)
     blocks = cut_into_blocks(candidates, source.xs, lead=[cell])
     merged = block_merge(blocks, source.xs, cells=names)
     return Tuples(merged, candidates.count)
