@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from catalogue.registry import dominates, not_exists, register, table
@@ -14,7 +15,7 @@ from pareto_frame.operators.aggregates import (
 )
 from pareto_frame.plans.jobs import phase_counts
 from pareto_frame.plans.skyline import skyline
-from pareto_frame.session import scratch_path
+from pareto_frame.session import materialise, scratch_path
 from pareto_frame.sources import delimited, generate
 from pareto_frame.sources.rows import from_rows, named_view
 
@@ -493,43 +494,109 @@ _register_geometry(
 )
 
 
-# E. layout: what is computed stays the same, where it lies differs
+# E. layout: every query shows a property that rows have only if they are laid out
 
-_ORDER_COLUMNS = "o_orderkey, o_totalprice, o_custkey"
+_PARTITION = F.spark_partition_id()
+_LAYOUT_DIMS = ["o_totalprice", "o_custkey"]
 
 
 def _orders(spark, folder):
-    return table(spark, folder, "orders").select("o_orderkey", "o_totalprice", "o_custkey")
+    return table(spark, folder, "orders").select("o_orderkey", *_LAYOUT_DIMS)
 
 
-@register("E1_first_dimension_ranges", f"SELECT {_ORDER_COLUMNS} FROM orders")
+@register(
+    "E1_first_dimension_ranges",
+    "SELECT true AS apart, true AS several, true AS sorted, count(*) AS n FROM orders",
+)
 def ranges(spark, folder):
-    return partitioning.by_first_dimension(
-        _orders(spark, folder), ["o_totalprice", "o_custkey"], 8
+    """Ranges of the first dimension do not overlap, there are several, and each is sorted."""
+    laid = materialise(
+        partitioning.by_first_dimension(_orders(spark, folder), _LAYOUT_DIMS, 8)
+        .withColumn("part", _PARTITION)
+        .withColumn("place", F.monotonically_increasing_id())
+    ).rows
+    by_place = Window.partitionBy("part").orderBy("place")
+    dims = F.struct(*_LAYOUT_DIMS)
+    parts = (
+        laid.withColumn("falls", dims < F.lag(dims).over(by_place))
+        .groupBy("part")
+        .agg(
+            F.min(dims).alias("lo"),
+            F.max(dims).alias("hi"),
+            F.coalesce(F.max("falls"), F.lit(False)).alias("falls"),
+            F.count(F.lit(1)).alias("n"),
+        )
+    )
+    # at most 8 rows
+    parts = parts.withColumn("before", F.max("hi").over(Window.orderBy("part").rowsBetween(-8, -1)))
+    return parts.agg(
+        F.min(F.coalesce(F.col("before") <= F.col("lo"), F.lit(True))).alias("apart"),
+        (F.count(F.lit(1)) > 4).alias("several"),
+        (~F.max("falls")).alias("sorted"),
+        F.sum("n").alias("n"),
     )
 
 
-@register("E2_lexicographic_order", f"SELECT {_ORDER_COLUMNS} FROM orders")
+@register(
+    "E2_lexicographic_order",
+    "SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice, o_custkey, o_orderkey) AS place FROM orders",
+)
 def ordered(spark, folder):
-    return partitioning.lexicographic(_orders(spark, folder), ["o_totalprice", "o_custkey"])
+    """The place of each row in the order, counted from where the rows lie."""
+    dims = [*_LAYOUT_DIMS, "o_orderkey"]
+    laid = partitioning.lexicographic(_orders(spark, folder), dims)
+    placed = materialise(
+        laid.withColumn("part", _PARTITION).withColumn("at", F.monotonically_increasing_id())
+    ).rows
+    sizes = placed.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"))
+    # one row per partition
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return placed.join(sizes.withColumn("before", before), "part").select(
+        "o_orderkey", (F.col("before") + F.col("at") - F.col("first") + 1).alias("place")
+    )
 
 
-@register("E3_balanced", f"SELECT {_ORDER_COLUMNS} FROM orders")
+@register("E3_balanced", "SELECT true AS balanced, true AS together, count(*) AS n FROM orders")
 def balanced(spark, folder):
-    return partitioning.spread(_orders(spark, folder), ["o_totalprice", "o_custkey"], 8)
+    """Eight partitions of about equal size, copies of a tuple in one of them."""
+    rows = _orders(spark, folder).select(*_LAYOUT_DIMS)
+    twice = rows.unionByName(rows)
+    laid = materialise(partitioning.spread(twice, _LAYOUT_DIMS, 8).withColumn("part", _PARTITION)).rows
+    sizes = laid.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    places = laid.groupBy(*_LAYOUT_DIMS).agg(F.count_distinct("part").alias("n"))
+    even = sizes.agg(
+        ((F.max("n") < 1.5 * F.min("n")) & (F.count(F.lit(1)) == 8)).alias("balanced"),
+        F.lit(None).cast("boolean").alias("together"),
+        (F.sum("n") / 2).cast("bigint").alias("n"),
+    )
+    once = places.agg(
+        F.lit(None).cast("boolean").alias("balanced"),
+        (F.max("n") == 1).alias("together"),
+        F.lit(None).cast("bigint").alias("n"),
+    )
+    columns = ["balanced", "together", "n"]
+    return even.unionByName(once).agg(*[F.max(c).alias(c) for c in columns])
 
 
 @register(
     "E4_key_partitions",
-    f"SELECT cell, count(*) AS n FROM (SELECT {_CELL} AS cell FROM {_SCALED}) GROUP BY cell",
+    f"SELECT cell, count(*) AS n, true AS neighbours FROM (SELECT {_CELL} AS cell FROM {_SCALED}) GROUP BY cell",
 )
 def keyed(spark, folder):
-    """Rows laid out by cell, then counted per cell."""
+    """Rows per cell, and that a cell lies in neighbouring partitions, after all smaller cells."""
     xs = [F.col(x) for x in _XS]
     cell = geometry.cell_id(geometry.grid_coordinates(xs, 8), 8)
     placed = _scaled(spark, folder).withColumn("cell", cell)
-    laid = partitioning.by_key(placed, F.col("cell"), _XS, 8)
-    return laid.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
+    laid = materialise(
+        partitioning.by_key(placed, F.col("cell"), _XS, 8).select("cell").withColumn("part", _PARTITION)
+    ).rows
+    cells = laid.groupBy("cell").agg(
+        F.count(F.lit(1)).alias("n"), F.min("part").alias("first"), F.max("part").alias("last")
+    )
+    # at most 8 ** 3 rows
+    smaller = Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    after = F.coalesce(F.max("last").over(smaller) <= F.col("first"), F.lit(True))
+    return cells.select("cell", "n", after.alias("neighbours"))
 
 
 # F. aggregates

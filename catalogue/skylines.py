@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from functools import partial
+from functools import partial, reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from catalogue.basics import (
@@ -19,6 +20,7 @@ from catalogue.basics import (
 )
 from catalogue.registry import dominates, not_exists, register, table
 from pareto_frame import (
+    STRATEGIES,
     compare_strategies,
     seeded_skyline,
     skyline,
@@ -652,12 +654,33 @@ def sweep(spark, folder):
     return sweep_sizes(inputs, _XS4, ["sfs_range", "representatives"]).drop("seconds")
 
 
+_CROSS = ["p_size", "p_retailprice"]
+_CROSS_NAMES = ", ".join(f"('{name}')" for name in STRATEGIES)
+
+
 @register(
     "H16_strategy_cross_check",
-    "SELECT strategy, CAST(0 AS BIGINT) AS missing, CAST(0 AS BIGINT) AS surplus FROM (VALUES "
-    "('auto'), ('sql'), ('nested_loop'), ('bnl'), ('sfs'), ('sfs_range'), ('sfs_random'), "
-    "('angular'), ('radius_angular'), ('grid_filter'), ('representatives'), ('three_phase'), "
-    "('grid'), ('grid_parallel'), ('aggregate')) s(strategy)",
+    f"""
+    WITH best AS (SELECT * FROM part p WHERE {not_exists("part", _CROSS)})
+    SELECT strategy, n_all, n_distinct, 0::BIGINT AS missing, 0::BIGINT AS surplus
+    FROM (VALUES {_CROSS_NAMES}) s(strategy), (SELECT count(*) AS n_all,
+      count(DISTINCT (p_size, p_retailprice)) AS n_distinct FROM best)
+    """,
 )
 def cross_check(spark, folder):
-    return compare_strategies(part(spark, folder), ["p_size", "p_retailprice", -F.col("p_partkey")])
+    """Sizes with all ties and without, by strategy, and how far each differs from ``sql``."""
+    rows = part(spark, folder)
+    sizes = reduce(
+        DataFrame.unionByName,
+        [
+            skyline(rows, _CROSS, name).agg(
+                F.lit(name).alias("strategy"),
+                F.count(F.lit(1)).alias("n_all"),
+                F.count_distinct(*_CROSS).alias("n_distinct"),
+            )
+            for name in STRATEGIES
+        ],
+    )
+    return sizes.join(compare_strategies(rows, _CROSS), "strategy").select(
+        "strategy", "n_all", "n_distinct", "missing", "surplus"
+    )
