@@ -107,35 +107,46 @@ def _bucket(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(64 - 15)).astype(np.int64)
 
 
-def examples(text: str, number: int) -> list[np.ndarray]:
-    """The whole text and two stretches of words, at a place given by ``number``."""
+def examples(text: str, number: int) -> list[bytes]:
+    """The whole text and two stretches of words, at a place given by ``number``; see ``packed``."""
     words = text.split()
     out = [subwords(text)]
     for size in (24, 5):
         start = number % max(1, len(words) - size + 1)
         out.append(subwords(" ".join(words[start : start + size])))
-    return [x for x in out if len(x)]
+    return [packed(x) for x in out if len(x)]
 
 
-def fit(docs: list[tuple[int, str, list[np.ndarray]]], settings: Settings) -> Model:
-    """Train on (hashed id, language, examples as bucket arrays)."""
+def packed(buckets: np.ndarray) -> bytes:
+    """The distinct buckets in 16 bits each, then how often each occurs in 32."""
+    distinct, counts = np.unique(buckets, return_counts=True)
+    return distinct.astype("<u2").tobytes() + counts.astype("<u4").tobytes()
+
+
+def unpacked(example: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct buckets and the share of each."""
+    n = len(example) // 6
+    counts = np.frombuffer(example, "<u4", offset=2 * n).astype(np.float32)
+    return np.frombuffer(example, "<u2", count=n).astype(np.int32), counts / counts.sum()
+
+
+def fit(docs: list[tuple[int, str, list[bytes]]], settings: Settings) -> Model:
+    """Train on (hashed id, language, packed examples)."""
     languages = sorted({language for _, language, _ in docs})
     if not languages:
         return Model([], np.zeros((BUCKETS, 0)), np.zeros(0), 1.0, 1.0)
     docs = sorted(docs, key=lambda d: d[0])
     number = {language: i for i, language in enumerate(languages)}
-    packed = []
-    for i, (_, language, found) in enumerate(docs):
-        for x in found:
-            buckets, counts = np.unique(x, return_counts=True)
-            packed.append((i % 5 == 4, number[language], buckets, counts / counts.sum()))
-    train = [p for p in packed if not p[0]] or packed
-    check = [p for p in packed if p[0]] or packed
+    rows = [
+        (i % 5 == 4, number[language], *unpacked(x)) for i, (_, language, found) in enumerate(docs) for x in found
+    ]
+    train = [r for r in rows if not r[0]] or rows
+    check = [r for r in rows if r[0]] or rows
     rng = np.random.default_rng(settings.seed)
     table = rng.uniform(-1 / WIDTH, 1 / WIDTH, (BUCKETS, WIDTH))
     seen = np.zeros(BUCKETS, bool)
-    for p in train:
-        seen[p[2]] = True
+    for row in train:
+        seen[row[2]] = True
     table[~seen] = 0  # unknown subwords say nothing, so they lower the confidence
     layer, bias = np.zeros((WIDTH, len(languages))), np.zeros(len(languages))
     steps, done = settings.epochs * len(train), 0
@@ -187,9 +198,9 @@ def training_sample(docs: DataFrame, settings: Settings, text: str, language: st
     )
     chosen = usable.join(F.broadcast(limits), "language").filter(F.col("number") <= F.col("most"))
 
-    @F.pandas_udf("array<array<int>>")
+    @F.pandas_udf("array<binary>")
     def found(texts: pd.Series, numbers: pd.Series) -> pd.Series:
-        return pd.Series([[x.astype(np.int32) for x in examples(t, n)] for t, n in zip(texts, numbers)])
+        return pd.Series([examples(t, n) for t, n in zip(texts, numbers)])
 
     return chosen.select("number", "language", found("text", "number").alias("examples"))
 
@@ -208,11 +219,8 @@ def train(
 ) -> Model:
     """Learn from the documents that are not held out."""
     sample = training_sample(docs.filter(~held_out(F.col(doc_id))), settings, text, language, doc_id)
-    rows = sample.toPandas()
-    return fit(
-        [(n, language, [np.asarray(x) for x in found]) for n, language, found in rows.itertuples(index=False)],
-        settings,
-    )
+    rows = sample.toArrow().to_pylist()
+    return fit([(row["number"], row["language"], row["examples"]) for row in rows], settings)
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
