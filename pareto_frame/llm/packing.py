@@ -174,8 +174,8 @@ def pack(pieces: DataFrame, capacity: Capacity = Capacity()) -> DataFrame:
         sizes.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))), "piece-sizes"
     ).rows
     counts = np.zeros(capacity.tokens + 1, np.int64)
-    for row in sizes.groupBy("length").agg(F.sum("n").alias("n")).collect():
-        counts[row["length"]] = row["n"]
+    told = sizes.groupBy("length").agg(F.sum("n").alias("n")).toArrow()  # at most a row per length
+    counts[told["length"].to_numpy()] = told["n"].to_numpy()
     within = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")
     numbered = (
         kept.withColumn("place", F.row_number().over(within) - 1)

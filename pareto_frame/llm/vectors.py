@@ -226,18 +226,20 @@ def near_vectors(
         F.col(vector).cast("array<double>").alias("v"),
     )
     units = stored(narrow.mapInArrow(_unit, "id long, label string, width int, v binary"), "units").rows
-    sample = units.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).toPandas()
+    sample = units.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).toArrow().to_pandas()
     index, probes = {}, {}
     for width, rows in sample.groupby("width"):
         index[int(width)] = Index(_matrix(rows["v"]))
         some = rows.head(PROBES)
         probes[int(width)] = (some["id"].to_numpy(), some["label"].tolist(), _matrix(some["v"]))
-    # lengths that the sample lacks: one codebook each from their first rows
-    for row in units.filter(~F.col("width").isin([*index] or [-1])).groupBy("width").agg(F.min("v").alias("v")).collect():
+    # lengths that the sample lacks: a codebook each from one of their rows
+    others = units.filter(~F.col("width").isin([*index] or [-1])).groupBy("width").agg(F.min("v").alias("v"))
+    for row in others.toLocalIterator():
         index[row["width"]] = Index(np.frombuffer(row["v"], np.float64).reshape(1, -1))
     ranks = np.zeros(WORDS * WORDS, np.int64)
-    for row in units.mapInArrow(_ranks(probes, index, least), "rank long, n long").groupBy("rank").agg(F.sum("n").alias("n")).collect():
-        ranks[row["rank"]] = row["n"]
+    found = units.mapInArrow(_ranks(probes, index, least), "rank long, n long")
+    told = found.groupBy("rank").agg(F.sum("n").alias("n")).toArrow()  # at most a row per rank
+    ranks[told["rank"].to_numpy()] = told["n"].to_numpy()
     visits = max(LEAST_VISITS, int(np.searchsorted(ranks.cumsum(), recall * ranks.sum())) + 1)
 
     placed = stored(
