@@ -1,6 +1,6 @@
 """Times the strategies; prints one JSON line.
 
-Tables come from $BENCH_SF_DIR. Generated points are written to the checkpoint
+Every figure is the median of three runs. Tables come from $BENCH_SF_DIR. Generated points are written to the checkpoint
 folder first, so that reading them is part of a query and drawing them is not.
 """
 
@@ -12,6 +12,7 @@ import sys
 import tempfile
 import time
 from pathlib import Path
+from statistics import median
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -62,9 +63,13 @@ def main() -> None:
     seconds: dict[str, float] = {}
 
     def run(name, query):
-        begin = time.perf_counter()
-        sizes[name] = len(query().collect())
-        seconds[name] = round(time.perf_counter() - begin, 3)
+        """The median of three runs."""
+        taken = []
+        for _ in range(3):
+            begin = time.perf_counter()
+            sizes[name] = len(query().collect())
+            taken.append(time.perf_counter() - begin)
+        seconds[name] = round(median(taken), 3)
 
     points = {}
     for name, (kind, n, dims, spread) in POINT_SETS.items():
@@ -87,10 +92,15 @@ def main() -> None:
     for name, df in points.items():
         dims = df.columns[1:]
         run(f"{name}_auto", lambda df=df, dims=dims: skyline(df, dims))
-    run(
-        "anti_4d_2e6_representatives",
-        lambda: skyline(points["anti_4d_2e6"], points["anti_4d_2e6"].columns[1:], "representatives"),
-    )
+    # range slices and representatives on the anti-correlated sets
+    for name in ("anti_4d_1e5", "anti_4d_1e6", "anti_4d_2e6"):
+        for strategy in ("sfs_range", "representatives"):
+            df = points[name]
+            run(f"{name}_{strategy}", lambda df=df, s=strategy: skyline(df, df.columns[1:], s))
+    df = points["anti_4d_1e5"]
+    run("anti_4d_1e5_sql", lambda: skyline(df, df.columns[1:], "sql"))
+    # more candidates than are broadcast: the merge by blocks
+    run("anti_4d_1e5_blocks", lambda: skyline(df, df.columns[1:], broadcast_rows=2_000))
     print(
         json.dumps(
             {
