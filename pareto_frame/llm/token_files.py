@@ -7,13 +7,14 @@ writes blocks as rows of a Parquet table in the shared folder::
     n_docs        documents in the block
     doc_ids       their ids, little-endian signed 64-bit integers
     n_ids         ids in the block
+    before        ids in the earlier blocks of the same partition
     ids           unsigned 16-bit integers, 32-bit if the vocabulary needs them
     low_bits      width of the low halves of the boundaries
     low, high     Elias-Fano code of the end of each document within the block
     samples       every 256th one of the unary part, for select
 
-The start of a document over all files is the number of ids in all blocks before,
-plus the end of its predecessor in the block: block totals are 64-bit, boundaries take
+The start of a document over all files is the number of ids in all partitions and blocks
+before, plus the end of its predecessor in the block: block totals are 64-bit, boundaries take
 about 2 + log2(ids per document) bits. A document is never split over blocks.
 
 Defined cases: a null text is empty (only the end id); a null ``doc_id`` sorts first and is
@@ -40,7 +41,7 @@ from pareto_frame.session import scratch_path
 BLOCK_IDS = 1 << 20
 SAMPLE = 256
 SCHEMA = (
-    "part int, block int, n_docs long, doc_ids binary, no_id binary, n_ids long, ids binary, wide boolean,"
+    "part int, block int, n_docs long, doc_ids binary, no_id binary, n_ids long, before long, ids binary, wide boolean,"
     " low_bits int, low binary, high binary, samples binary"
 )
 
@@ -65,15 +66,15 @@ def ef_encode(ends: np.ndarray) -> tuple[int, bytes, bytes, bytes]:
 
 
 def ef_select(i: int, width: int, low: bytes, high: bytes, samples: bytes) -> int:
-    """The ``i``-th value: from the nearest sample on, by the bits that are set."""
-    at = int(np.frombuffer(samples, "<u4")[i // SAMPLE])
-    missing = i % SAMPLE
-    byte = at // 8
-    ones = np.unpackbits(np.frombuffer(high, np.uint8, offset=byte), bitorder="little")
-    places = np.flatnonzero(ones[at % 8 :])
-    one = at + int(places[missing])
-    bits = np.unpackbits(np.frombuffer(low, np.uint8), bitorder="little", count=(i + 1) * width)[i * width :]
-    return ((one - i) << width) | int(bits @ (1 << np.arange(width))) if width else one - i
+    """The ``i``-th value: counts set bits between two samples, and reads one low half."""
+    marks = np.frombuffer(samples, "<u4")
+    at = int(marks[i // SAMPLE])
+    end = int(marks[i // SAMPLE + 1]) if i // SAMPLE + 1 < len(marks) else 8 * len(high) - 1
+    bits = np.unpackbits(np.frombuffer(high[at // 8 : end // 8 + 1], np.uint8), bitorder="little")
+    one = at + int(np.flatnonzero(bits[at % 8 :])[i % SAMPLE])
+    first = i * width
+    near = int.from_bytes(low[first // 8 : (first + width + 7) // 8], "little")
+    return ((one - i) << width) | (near >> (first % 8) & ((1 << width) - 1))
 
 
 def ef_decode(n: int, width: int, low: bytes, high: bytes) -> np.ndarray:
@@ -92,7 +93,7 @@ def ef_decode(n: int, width: int, low: bytes, high: bytes) -> np.ndarray:
 def _write(path: str, end_id: int, wide: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part = encoder(path).encode, TaskContext.get().partitionId()
-        number, held, doc_ids, ends, total = 0, [], [], [], 0
+        number, before, held, doc_ids, ends, total = 0, 0, [], [], [], 0
         tail = np.array([end_id], "<u4")
 
         def block() -> pa.RecordBatch:
@@ -105,6 +106,7 @@ def _write(path: str, end_id: int, wide: bool):
                 "doc_ids": pa.array([np.array([d or 0 for d in doc_ids], "<i8").tobytes()]),
                 "no_id": pa.array([np.packbits([d is None for d in doc_ids]).tobytes()]),
                 "n_ids": pa.array([total]),
+                "before": pa.array([before]),
                 "ids": pa.array([ids.astype("<u4" if wide else "<u2").tobytes()]),
                 "wide": pa.array([wide]),
                 "low_bits": pa.array([width], pa.int32()),
@@ -123,7 +125,7 @@ def _write(path: str, end_id: int, wide: bool):
                 ends.append(total)
                 if total >= BLOCK_IDS:
                     yield block()
-                    number, held, doc_ids, ends, total = number + 1, [], [], [], 0
+                    number, before, held, doc_ids, ends, total = number + 1, before + total, [], [], [], 0
         if ends:
             yield block()
 
@@ -165,7 +167,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.frombuffer(row["doc_ids"], "<i8"), mask=missing),
-                    pa.array(starts + row["base"]),
+                    pa.array(starts + row["base"] + row["before"]),
                     pa.array(ends - starts),
                     pa.array(crc, pa.int64()),
                 ],
@@ -174,20 +176,16 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def blocks(spark: SparkSession, folder: str) -> DataFrame:
-    """The blocks of a folder with ``base``, the number of ids in all blocks before."""
+    """The blocks of a folder with ``base``, the number of ids in all partitions before."""
     found = spark.read.schema(SCHEMA).parquet(folder)
-    sizes = found.select("part", "block", "n_ids")
-    # one row per range partition meets in one task, the blocks of a partition in another
-    by_part = sizes.groupBy("part").agg(F.sum("n_ids").alias("n")).withColumn(
-        "before", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    )
-    inner = Window.partitionBy("part").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    # one row per partition of the files, a number that a setting bounds: one task, one broadcast
     bases = (
-        sizes.withColumn("inside", F.coalesce(F.sum("n_ids").over(inner), F.lit(0)))
-        .join(by_part.select("part", "before"), "part")
-        .select("part", "block", (F.col("before") + F.col("inside")).alias("base"))
+        found.groupBy("part")
+        .agg(F.sum("n_ids").alias("n"))
+        .select("part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
     )
-    return found.join(bases, ["part", "block"])
+    return found.join(F.broadcast(bases), "part")
 
 
 def read_documents(spark: SparkSession, folder: str) -> DataFrame:
