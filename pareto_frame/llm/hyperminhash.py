@@ -46,7 +46,6 @@ BANDS = REGISTERS // ROWS
 ESTIMATE = SHARE / OF - 5 * (SHARE / OF * (1 - SHARE / OF) / REGISTERS) ** 0.5
 #: Members of a crowded band that one comparison holds, twice.
 BLOCK = 128
-CACHE_WORDS = 500_000
 
 U = np.uint64
 _MIX = [U(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
@@ -59,23 +58,12 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U(31))
 
 
-class _Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-_WORDS = _Words()
-
-
 def shingles(text: str | None) -> np.ndarray:
     """The distinct shingles of a whole text as sorted 64-bit hashes."""
     words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
     if not words:
         return np.zeros(0, U)
-    h = np.fromiter(map(_WORDS.__getitem__, words), U, len(words))
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), U, len(words))
     if len(words) < WORDS:
         whole = np.array([len(words)], U)
         for i in range(len(words)):
