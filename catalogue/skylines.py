@@ -396,6 +396,31 @@ def given_text(spark, folder):
     return skyline(rows, _TEXT_DIMS, "representatives", given=given)
 
 
+_BY_DAY = ["o_totalprice", "o_custkey"]
+_BY_DAY_ROWS = (
+    "(SELECT o_orderkey, CASE WHEN o_orderkey % 3 > 0 THEN o_orderpriority END AS priority, o_totalprice, o_custkey FROM orders)"
+)
+
+
+def _odd_groups(spark, folder):
+    """Orders with a null and a dotted group name."""
+    key = F.when(F.col("o_orderkey") % 3 > 0, F.col("o_orderpriority")).alias("by.priority")
+    return orders(spark, folder).select("o_orderkey", key, *_BY_DAY)
+
+
+@register(
+    "F6_skyline_by_all_rows",
+    f"""
+    WITH o AS {_BY_DAY_ROWS} SELECT o_orderkey, priority, o_totalprice, o_custkey FROM o p
+    WHERE NOT EXISTS (SELECT 1 FROM o q WHERE q.priority IS NOT DISTINCT FROM p.priority
+      AND {dominates([f"q.{d}" for d in _BY_DAY], [f"p.{d}" for d in _BY_DAY])})
+    """,
+)
+def by_group_all(spark, folder):
+    rows = skyline_by(_odd_groups(spark, folder), ["by.priority"], _BY_DAY, ties="all")
+    return rows.withColumnRenamed("by.priority", "priority")
+
+
 # many dimensions: all of them take part in every key
 
 _WIDE = 10

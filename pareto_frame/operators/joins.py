@@ -101,7 +101,7 @@ def matching_rows(
     names: Sequence[str],
     at_most: int | None,
 ) -> DataFrame:
-    """All rows of ``df`` whose dimension values are among ``tuples``.
+    """All rows of ``df`` whose values are among ``tuples``; null equals null.
 
     ``at_most`` bounds the number of tuples; without it they are counted. The input is read
     again to find its rows by value, so it has to give the same values each time.
@@ -113,7 +113,7 @@ def matching_rows(
     if at_most is None or at_most > bound:
         phase = materialise(tuples)
         tuples, at_most = phase.rows, phase.count
-    same = every([e == F.col(n) for e, n in zip(exprs, names, strict=True)])
+    same = every([e.eqNullSafe(F.col(n)) for e, n in zip(exprs, names, strict=True)])
     if at_most <= bound:
         return df.join(F.broadcast(tuples), same, "left_semi")
     salt = F.pmod(F.spark_partition_id(), F.lit(SALTS))

@@ -26,6 +26,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 _BUFFER_ROWS = 32_768
 _BLOCK_ROWS = 256
 _PANEL_ROWS = 8_192
+_MOST_KEPT = 500_000
 
 
 def supports(dtype: T.DataType) -> bool:
@@ -45,24 +46,35 @@ def supports(dtype: T.DataType) -> bool:
 
 
 def local_skyline(
-    df: DataFrame, dims: Sequence[str], keys: Sequence[str] = (), presorted: bool = False
+    df: DataFrame,
+    dims: Sequence[str],
+    keys: Sequence[str] = (),
+    presorted: bool = False,
+    by_key: bool = False,
 ) -> DataFrame:
     """Distinct non-dominated tuples of every partition, per key if keys are given.
 
+    ``by_key`` partitions list the rows of each key together: a task then holds the skyline
+    of one key at a time. Otherwise a task holds those of all keys it has met, up to
+    ``_MOST_KEPT`` rows; beyond, it lets them go and starts anew, so that a tuple may come
+    twice and the result is a first reduction only.
+
     ``presorted`` partitions must list dominators before what they dominate (any
     monotone score, then the dimensions). A kept tuple is then final and leaves
     at once; otherwise later tuples may evict earlier ones. Without nulls in ``dims``.
     """
     narrow = df.select(*keys, *dims)
-    task = partial(_frontier_of_partition, n_keys=len(keys), presorted=presorted)
+    task = partial(
+        _frontier_of_partition, n_keys=len(keys), presorted=presorted, by_key=by_key
+    )
     return narrow.mapInArrow(task, narrow.schema)
 
 
 def _frontier_of_partition(
-    batches: Iterator[pa.RecordBatch], n_keys: int, presorted: bool
+    batches: Iterator[pa.RecordBatch], n_keys: int, presorted: bool, by_key: bool = False
 ) -> Iterator[pa.RecordBatch]:
     if n_keys:
-        tables = _keep_per_group(batches, n_keys)
+        tables = _keep_per_group(batches, n_keys, by_key)
     elif presorted:
         tables = _keep_in_order(batches)
     else:
@@ -107,19 +119,30 @@ def _keep_with_eviction(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]
         yield kept
 
 
-def _keep_per_group(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[pa.Table]:
-    """Any input order; tuples only compete within their group."""
-    groups, kept, scale = _GroupCodes(), None, None
+def _keep_per_group(
+    batches: Iterator[pa.RecordBatch], n_keys: int, by_key: bool
+) -> Iterator[pa.Table]:
+    """Any input order of tuples; they only compete within their group."""
+    kept, scale = None, None
     # waiting for as many new rows as are kept makes the repeated sweeps linear
     for table in _buffered(batches, lambda: kept.num_rows if kept is not None else 0):
         scale = scale or [_linear_scale(c) for c in table.columns[n_keys:]]
         if kept is not None:
             table = pa.concat_tables([kept, table]).combine_chunks()
         order = [_total_order(c) for c in table.columns[n_keys:]]
-        codes = groups.of(table.columns[:n_keys])
+        codes = _GroupCodes().of(table.columns[:n_keys])
         rows = _dominators_first(table.columns[n_keys:], order, codes, scale)
         rows = rows[_sweep_groups([o[rows] for o in order], codes[rows])]
+        if by_key:
+            # only the group of the last row may go on
+            open_group = codes[rows] == codes[-1]
+            if not open_group.all():
+                yield table.take(pa.array(rows[~open_group]))
+            rows = rows[open_group]
         kept = table.take(pa.array(rows))
+        if not by_key and kept.num_rows > _MOST_KEPT:
+            yield kept
+            kept = None
     if kept is not None:
         yield kept
 

@@ -262,14 +262,25 @@ def _auto(source: Input) -> Tuples:
 def _sql(source: Input) -> Tuples:
     """NOT EXISTS as an anti-join, without Python.
 
-    The right side is first reduced to the rows that matter as dominators. A
-    large input is filtered by representatives before it is shuffled for that.
+    The right side is first reduced to the rows that matter as dominators. An input of more
+    than ``broadcast_rows`` rows is filtered by the best row of each dimension before it is
+    shuffled for that; they come from the same pass as the sizes.
     """
     distinct = [F.approx_count_distinct(x).alias(x) for x in source.xs]
-    sizes = source.rows.agg(F.count(F.lit(1)).alias("n"), *distinct).first()
+    # for each dimension the row that is best in it, ties by the others: strong dominators
+    best = [
+        F.min(F.struct(*source.xs[i:], *source.xs[:i])).alias(f"best{i}")
+        for i in range(len(source.xs))
+    ]
+    summary = source.rows.agg(F.count(F.lit(1)).alias("n"), *distinct, *best)
+    sizes = summary.first()
     rows = source.rows
-    if sizes["n"] > source.limit and all(has_number(t) for t in source.types):
-        rows = _representative_filter(source, per_dim=10)
+    if sizes["n"] > source.limit:
+        # one row per dimension
+        points = [tuple(sizes[f"best{i}"][x] for x in source.xs) for i in range(len(source.xs))]
+        schema = T.StructType([T.StructField(x, t) for x, t in zip(source.xs, source.types, strict=True)])
+        rivals = rows.sparkSession.createDataFrame(points, schema)
+        rows = survivors(rows, source.xs, rivals)
     # the dimension with most values goes last: that leaves the fewest rows
     by_values = sorted(source.xs, key=lambda x: sizes[x])
     return _merged(source, materialise(minimal_partners(rows, by_values).select(*source.xs)))
@@ -402,7 +413,8 @@ def _grid_parallel(source: Input, slices: int = 2) -> Tuples:
     cell = F.array(*columns(names))
     laid = partitioning.by_key(placed, cell, source.xs, source.partitions)
     # the coordinates are keys of the local pass: cells do not compete there
-    candidates = materialise(local_skyline(laid, source.xs, keys=names))
+    laid = laid.sortWithinPartitions(*names)
+    candidates = materialise(local_skyline(laid, source.xs, keys=names, by_key=True))
     if candidates.count <= source.limit:
         merged = global_skyline(candidates, source.xs, limit=source.limit)
         return Tuples(merged.select(*source.xs), candidates.count)

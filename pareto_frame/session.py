@@ -29,7 +29,8 @@ def shared_folder(spark: SparkSession) -> str:
             context.setCheckpointDir(named)
         return named
     if current is None:
-        if not context.master.startswith("local"):
+        # local-cluster has executors of its own, so only plain local masters count
+        if context.master != "local" and not context.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to storage shared by all executors")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="pareto-frame-"))
         current = context.getCheckpointDir()
