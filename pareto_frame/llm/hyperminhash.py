@@ -9,9 +9,9 @@ Documents with equal shingle sets form one class, and only its smallest id goes
 Classes that share a band are candidates. To avoid all pairs of a crowded band, its members
 first meet one hub, the member with the smallest id; verified links give components,
 and then only members outside the hub's component meet the others of their band, in
-bounded blocks, where sketches are compared in numpy. Every candidate first passes a
-Jaccard estimate from its registers, corrected for registers that agree by chance, then the
-exact test on full shingle sets.
+bounded blocks that carry sketches and shingle sets, and give only the links that join
+components. Every candidate first passes a Jaccard estimate from its registers, corrected
+for registers that agree by chance, then the exact test on full shingle sets.
 
 With similarity 0.75 a pair shares no band with probability (1 - 0.75^5)^40 = 2e-5; the
 estimate's limit lies five standard deviations below.
@@ -45,7 +45,7 @@ BANDS = REGISTERS // ROWS
 #: Five standard deviations of the estimate below the wanted similarity.
 ESTIMATE = SHARE / OF - 5 * (SHARE / OF * (1 - SHARE / OF) / REGISTERS) ** 0.5
 #: Members of a crowded band that one comparison holds, twice.
-BLOCK = 128
+BLOCK = 256
 
 U = np.uint64
 _MIX = [U(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
@@ -102,7 +102,7 @@ def sketch(hashes: np.ndarray) -> np.ndarray:
     registers = (zeros.astype(U) << U(MANTISSA)) | (mantissa & U((1 << MANTISSA) - 1))
     if not filled.all():
         lender = _ASKED[np.arange(REGISTERS), filled[_ASKED].argmax(1)]
-        registers = registers[lender]
+        registers = np.where(filled, registers, registers[lender])
     return registers.astype(np.uint16)
 
 
@@ -190,17 +190,35 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
 
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = pa.array([shingles(t.as_py()).tobytes() for t in batch.column("text")], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column("id"), found], ["id", "shingles"])
+
+
 def _crowd(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of different components within one block of a band, if their estimate reaches the limit."""
+    """Links between members of different components within one block of a band.
+
+    Each outsider goes through the others by falling estimate; a link joins their components,
+    so that no other member of either is asked again. A pair that shares several bands is
+    compared in the first of them only.
+    """
     registers = np.frombuffer(b"".join(pdf["registers"]), np.uint16).reshape(-1, REGISTERS)
-    ids, labels, outside = pdf["id"].to_numpy(), pdf["label"].to_numpy(), pdf["outside"].to_numpy()
-    found = []
+    band = int((band_keys(registers[:1])[0] == pdf["band"].iloc[0]).argmax())
+    ids, labels, outside = pdf["id"].to_numpy(), pdf["label"].to_numpy().copy(), pdf["outside"].to_numpy()
+    sets = [np.frombuffer(x, U) for x in pdf["shingles"]]
+    links = []
     for i in np.flatnonzero(outside):
-        agree = (registers == registers[i]).sum(1)
-        good = (estimate(agree) >= ESTIMATE) & (labels != labels[i])
-        found.append(np.stack([np.full(good.sum(), ids[i]), ids[good]], 1))
-    pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
-    return pd.DataFrame({"a": pairs.max(1), "b": pairs.min(1)}) if len(pairs) else pd.DataFrame({"a": [], "b": []}, dtype="int64")
+        equal = registers == registers[i]
+        first = equal.reshape(-1, BANDS, ROWS).all(2).argmax(1) == band
+        close = estimate(equal.sum(1))
+        asked = np.flatnonzero((close >= ESTIMATE) & first)
+        for j in asked[np.argsort(-close[asked], kind="stable")]:
+            if labels[i] != labels[j] and similar(sets[i], sets[j]):
+                links.append((ids[i], ids[j]))
+                labels[labels == labels[j]] = labels[i]
+    pairs = np.array(links, np.int64).reshape(-1, 2)
+    return pd.DataFrame({"a": pairs.max(1, initial=-(2**63)), "b": pairs.min(1, initial=2**63 - 1)})
 
 
 # the operator
@@ -300,21 +318,20 @@ def _crowded(crowds: DataFrame, registers: DataFrame, links: DataFrame, docs: Da
         told.join(maybe_broadcast(sizes), "band")
         .withColumn("rows_in", blocks("all"))
         .withColumn("outs_in", blocks("out"))
-        .join(registers, "id")
     )
+    involved = stored(placed.select("id").distinct(), "involved")
+    texts = docs.join(maybe_broadcast(involved), F.col("doc_id") == F.col("id")).select("id", "text")
+    # the exact sets; a document of several texts has them all compared
+    sets = registers.join(texts.mapInArrow(_sets, "id long, shingles binary"), "id")
+    placed = placed.join(sets, "id")
     number = lambda c: F.pmod(F.xxhash64("id"), F.col(c)).cast("int")
+    carried = ["id", "label", "registers", "shingles"]
     asking = placed.filter("outside").select(
         "band", number("outs_in").alias("o"), F.explode(F.sequence(F.lit(0), F.col("rows_in") - 1)).alias("r"),
-        "id", "label", "registers", F.lit(True).alias("outside"),
+        *carried, F.lit(True).alias("outside"),
     )
     asked = placed.select(
         "band", F.explode(F.sequence(F.lit(0), F.col("outs_in") - 1)).alias("o"), number("rows_in").alias("r"),
-        "id", "label", "registers", F.lit(False).alias("outside"),
-    )
-    pairs = (
-        asking.unionByName(asked)
-        .groupBy("band", "o", "r")
-        .applyInPandas(_crowd, "a long, b long")
-        .distinct()
+        *carried, F.lit(False).alias("outside"),
     )
-    return _verified(pairs, docs).rows
+    return asking.unionByName(asked).groupBy("band", "o", "r").applyInPandas(_crowd, "a long, b long")

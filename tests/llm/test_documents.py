@@ -76,6 +76,15 @@ def test_estimate_follows_similarity():
         assert abs(hyperminhash.estimate(agreeing) - true) < 0.15
 
 
+def test_full_and_partly_empty_sketches_agree():
+    """One set fills all registers and the other does not: the filled ones stay as they are."""
+    pool = np.unique(np.random.default_rng(6).integers(0, 2**63, 1500).astype(np.uint64))
+    bucket = (pool >> np.uint64(48)) * np.uint64(hyperminhash.REGISTERS) >> np.uint64(16)
+    without = pool[bucket != bucket[700]]
+    agreeing = (hyperminhash.sketch(pool) == hyperminhash.sketch(without)).sum()
+    assert agreeing >= hyperminhash.REGISTERS - 2
+
+
 # lines
 
 
