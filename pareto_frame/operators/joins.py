@@ -24,6 +24,8 @@ from pareto_frame.session import Phase, materialise
 BROADCAST_ROWS = 100_000
 SEMI_BROADCAST_VALUES = 4_000_000
 SALTS = 16
+# However low the bound is set, shares of dominators are not smaller than this.
+SHARE_ROWS = 10_000
 
 
 def rival_names(dims: Sequence[str]) -> list[str]:
@@ -55,8 +57,8 @@ def survivors(
 def survivors_of_many(
     rows: DataFrame, dims: Sequence[str], rivals: Phase, limit: int = BROADCAST_ROWS
 ) -> DataFrame:
-    """``survivors`` for any number of rivals: one pass for each share of at most ``limit``."""
-    shares = max(1, ceil(rivals.count / max(1, limit)))
+    """``survivors`` for any number of rivals, in shares of at most ``limit`` or ``SHARE_ROWS``."""
+    shares = max(1, ceil(rivals.count / max(SHARE_ROWS, limit)))
     if shares == 1:
         return survivors(rows, dims, rivals.rows)
     share = F.pmod(F.xxhash64(*dims), F.lit(shares))
@@ -82,11 +84,11 @@ def surviving_cells(
 ) -> DataFrame:
     """Occupied cells that no other occupied cell totally dominates.
 
-    Cells are compared with shares of at most ``limit`` of the cells that matter as dominators.
+    Cells meet the cells that matter as dominators in shares of at most ``limit`` or ``SHARE_ROWS``.
     """
     partners = materialise(minimal_partners(cells, coordinates))
     condition = cell_totally_dominates(columns(rival_names(coordinates)), columns(coordinates))
-    shares = max(1, ceil(partners.count / max(1, limit)))
+    shares = max(1, ceil(partners.count / max(SHARE_ROWS, limit)))
     share = F.pmod(F.xxhash64(*coordinates), F.lit(shares))
     for i in range(shares):
         rivals = as_rivals(partners.rows.filter(share == i), coordinates)

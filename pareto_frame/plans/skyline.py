@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
-from functools import cached_property, reduce
+from functools import cached_property, partial, reduce
 from operator import add
 
 from pyspark.sql import Column, DataFrame
@@ -45,7 +45,7 @@ from pareto_frame.operators.joins import (
 )
 from pareto_frame.operators.local import local_skyline, supports
 from pareto_frame.operators.merge import block_merge, cut_into_blocks, global_skyline
-from pareto_frame.session import Phase, default_partitions, materialise
+from pareto_frame.session import Phase, default_partitions, materialise, no_derived_constraints
 
 FEW_ROWS = 10_000
 # Cells up to this number are shipped to every task in a semi-join; more are shuffled.
@@ -185,7 +185,8 @@ def find_tuples(source: Input, strategy: str, given: DataFrame | None = None, **
         return _minimum(source)
     if not all(supports(t) and has_number(t) for t in source.types):
         return _sql(source)
-    return plan(source, **options)
+    with no_derived_constraints(source.rows.sparkSession):
+        return plan(source, **options)
 
 
 def _without_dominated(source: Input, given: DataFrame) -> Input:
@@ -220,7 +221,7 @@ def first_of_each(rows: DataFrame, exprs: Sequence[Column], tie_break) -> DataFr
 
 
 def _combined(source: Input) -> DataFrame:
-    """Partial skylines of the partitions as they are read, before any shuffle."""
+    """Partial skylines of the partitions as they are, without a shuffle."""
     return local_skyline(source.rows, source.xs)
 
 
@@ -239,8 +240,17 @@ def _from_ranges(source: Input, first: Phase) -> Tuples:
     return _merged(source, materialise(local_skyline(ranges, source.xs, presorted=True)))
 
 
-def _keyed_candidates(source: Input, key: Column) -> Phase:
-    laid = partitioning.by_key(source.rows, key, source.xs, source.partitions)
+def _keyed_candidates(
+    source: Input, unit: list[Column], key: Callable[[list[Column]], Column]
+) -> Phase:
+    """One local skyline per range of a key over the scaled dimensions.
+
+    They are columns of their own below the key, which then stays small in its plan.
+    """
+    names = [f"__sky_u{i}" for i in range(len(unit))]
+    scaled = [u.alias(n) for u, n in zip(unit, names, strict=True)]
+    placed = source.rows.select(*source.xs, *scaled)
+    laid = partitioning.by_key(placed, key(columns(names)), source.xs, source.partitions)
     return materialise(local_skyline(laid, source.xs))
 
 
@@ -314,8 +324,8 @@ def _sfs_random(source: Input) -> Tuples:
 def _angular(source: Input, slices: int = 32) -> Tuples:
     """Partitions by angle; tuples that compete lie in the same direction."""
     first = source.having(materialise(_distinct(source, _combined(source))).rows)
-    key = _angle_key(first.unit(half_open=True), slices)
-    return _merged(source, _keyed_candidates(first, key))
+    key = partial(_angle_key, slices=slices)
+    return _merged(source, _keyed_candidates(first, first.unit(half_open=True), key))
 
 
 def _angle_key(unit: list[Column], slices: int) -> Column:
@@ -339,7 +349,8 @@ def _radius_angular(source: Input, radius: float = 0.5, slices: int = 32) -> Tup
     core = materialise(local_skyline(ranges, source.xs, presorted=True))
     seed = materialise(global_skyline(core, source.xs, limit=source.limit))
     outside = survivors_of_many(outside, source.xs, seed, source.limit)
-    outer = _keyed_candidates(first.having(outside), _angle_key(unit, slices))
+    outside = _combined(replace(source, rows=outside))
+    outer = _keyed_candidates(first.having(outside), unit, partial(_angle_key, slices=slices))
     both = Phase(seed.rows.unionByName(outer.rows), seed.count + outer.count)
     return _merged(source, both)
 
@@ -352,7 +363,7 @@ def _grid_filter(
     for _ in range(rounds):
         size = first.count
         current = replace(source, rows=first.rows, extent=None)
-        first = materialise(_in_surviving_cells(current, slices))
+        first = materialise(_combined(replace(source, rows=_in_surviving_cells(current, slices))))
         if first.count > keep_going * size:
             break
     return _from_ranges(source, first)
@@ -364,9 +375,10 @@ def _in_surviving_cells(source: Input, slices: int) -> DataFrame:
     placed = [c.alias(n) for c, n in zip(coordinates, names, strict=True)]
     occupied = occupied_cells(source.rows.select(*placed), names)
     alive = materialise(surviving_cells(occupied, names, source.limit))
-    cells = F.broadcast(alive.rows) if alive.count <= BROADCAST_CELLS else alive.rows
-    same = every([c == F.col(n) for c, n in zip(coordinates, names, strict=True)])
-    return source.rows.join(cells, same, "left_semi")
+    # one key: Spark would derive combinations of many equalities between expressions
+    cells = alive.rows.select(F.array(*columns(names)).alias("__sky_cell"))
+    cells = F.broadcast(cells) if alive.count <= BROADCAST_CELLS else cells
+    return source.rows.join(cells, F.array(*coordinates) == F.col("__sky_cell"), "left_semi")
 
 
 def _representative_filter(source: Input, per_dim: int) -> DataFrame:
@@ -397,14 +409,16 @@ def _three_phase(source: Input, per_dim: int = 10) -> Tuples:
 def _grid(source: Input, slices: int = 2) -> Tuples:
     """Partitions by grid cell; the key is the array of all coordinates."""
     first = source.having(materialise(_distinct(source, _combined(source))).rows)
-    cell = F.array(*grid_coordinates(first.unit(half_open=True), slices))
-    return _merged(source, _keyed_candidates(first, cell))
+    def key(unit: list[Column]) -> Column:
+        return F.array(*grid_coordinates(unit, slices))
+
+    return _merged(source, _keyed_candidates(first, first.unit(half_open=True), key))
 
 
 def _grid_parallel(source: Input, slices: int = 2) -> Tuples:
     """Dominated cells dropped, one skyline per cell, cells refined by their neighbours."""
     first = source.having(materialise(_distinct(source, _combined(source))).rows)
-    alive = _in_surviving_cells(first, slices)
+    alive = _combined(replace(source, rows=_in_surviving_cells(first, slices)))
     names = [f"__sky_c{i}" for i in range(len(source.xs))]
     coordinates = grid_coordinates(first.unit(half_open=True), slices)
     placed = alive.select(

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -46,6 +47,22 @@ def default_partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+@contextmanager
+def no_derived_constraints(spark: SparkSession):
+    """Plan without deriving conditions from conditions.
+
+    A condition over all of many dimensions, renamed one by one, would be derived in every
+    combination of old and new names, which takes longer than any query.
+    """
+    key = "spark.sql.constraintPropagation.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 @dataclass(frozen=True)
 class Phase:
     """A checkpointed intermediate result and its exact number of rows."""

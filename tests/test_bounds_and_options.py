@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pareto_frame import phase_counts, seeded_skyline, skyline, skyline_by
 from pareto_frame.functions import geometry
+from pareto_frame.operators import joins
 from pareto_frame.plans import skyline as plans
 
 NAN = float("nan")
@@ -122,6 +123,7 @@ def test_cells_beyond_the_broadcast_bound(spark, monkeypatch):
     df = spark.range(500).select(*[((F.col("id") * p) % 53).alias(f"d{p}") for p in (7, 11, 13)])
     expected = as_counter(skyline(df, strategy="sql"))
     monkeypatch.setattr(plans, "BROADCAST_CELLS", 3)
-    for bound in (2, 100_000):
+    monkeypatch.setattr(joins, "SHARE_ROWS", 7)
+    for bound in (5, 100_000):
         assert as_counter(skyline(df, strategy="grid_filter", slices=16, broadcast_rows=bound)) == expected
         assert as_counter(skyline(df, strategy="grid_parallel", slices=4, broadcast_rows=bound)) == expected
