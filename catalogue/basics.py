@@ -60,6 +60,27 @@ def sensor_file(spark, folder):
     return delimited.load_sensor_file(spark, _written(shaped, spark, "sensor"), num_col=4)
 
 
+@register(
+    "A1_sensor_file_by_number",
+    """
+    SELECT DISTINCT l_discount AS m8, CASE WHEN l_linenumber % 3 > 0 THEN l_tax END AS m9
+    FROM lineitem WHERE l_linenumber % 3 > 0
+    """,
+)
+def sensor_file_by_number(spark, folder):
+    """A file of numbers only, some written with one digit more: copies are found by number."""
+    line = table(spark, folder, "lineitem")
+    zero = F.when(F.col("l_linenumber") % 2 == 0, "0").otherwise("")
+    tax = F.when(F.col("l_linenumber") % 3 > 0, F.concat(F.col("l_tax").cast("string"), zero))
+    shaped = line.select(
+        *[F.lit(i).alias(f"c{i}") for i in range(10)],
+        F.concat(F.col("l_discount").cast("string"), zero).alias("m8"),
+        tax.alias("m9"),
+        F.lit(0).alias("last"),
+    )
+    return delimited.load_sensor_file(spark, _written(shaped, spark, "sensor"), num_col=2)
+
+
 @register(
     "A2_power_file",
     """

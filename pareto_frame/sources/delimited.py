@@ -1,8 +1,9 @@
 """Delimited measurement files.
 
 Both known layouts go through one cleaning order: pick measures by position,
-drop duplicate rows of the raw text, read numbers, drop incomplete rows. Since
-duplicates are dropped as text, ``1.0`` and ``1.00`` stay two rows.
+drop duplicate rows, read numbers, drop incomplete rows. Duplicates are compared as a
+reader that types whole columns sees them: a column in which every value is a number is
+compared by number (``1.0`` equals ``1.00``), any other column by its text.
 """
 
 from __future__ import annotations
@@ -11,12 +12,15 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from pareto_frame.operators.cleaning import (
+    NUMBER,
     coerce_numeric,
     drop_duplicate_rows,
     drop_incomplete,
     keep_measures,
+    quoted,
 )
 
 
@@ -40,11 +44,25 @@ def read_text_columns(spark: SparkSession, path: str, sep: str = ";") -> DataFra
     return spark.read.option("sep", sep).option("header", True).csv(path)
 
 
+def wholly_numeric(df: DataFrame) -> list[str]:
+    """Text columns in which every value that is there is a number; one pass over the rows."""
+    if not df.columns:
+        return []
+    unread = [
+        F.max(quoted(c).isNotNull() & ~quoted(c).rlike(NUMBER)).alias(f"c{i}")
+        for i, c in enumerate(df.columns)
+    ]
+    found = df.agg(*unread).first()
+    return [c for i, c in enumerate(df.columns) if not found[i]]
+
+
 def clean_measures(raw: DataFrame, layout: Layout, num_col: int = 4) -> DataFrame:
     picked = keep_measures(
         raw, num_col, layout.drop_order, layout.always_drop, layout.least, layout.most
     )
-    return drop_incomplete(coerce_numeric(drop_duplicate_rows(picked)))
+    numeric = wholly_numeric(picked)
+    typed = coerce_numeric(picked, numeric) if numeric else picked
+    return drop_incomplete(coerce_numeric(drop_duplicate_rows(typed)))
 
 
 def load_sensor_file(spark: SparkSession, path: str, num_col: int = 4) -> DataFrame:
