@@ -179,10 +179,9 @@ def candidates(index: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
 # verification
 
 
-def _spans(text: Column, rule: Rule) -> Column:
+def _spans(text: Column, rule: Rule, order: int) -> Column:
     """array<struct<start, end, order, kind>> of the matches that are long enough."""
     shape = "array<struct<start:bigint,end:bigint,order:int,kind:string>>"
-    order = [r.kind for r in RULES].index(rule.kind)
     pattern = F.lit(rule.java)
     found = F.arrays_zip(
         F.split(text, rule.java, -1).alias("gap"),
@@ -210,7 +209,7 @@ def _spans(text: Column, rule: Rule) -> Column:
 def find_secrets(
     docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", doc_id: str = "doc_id"
 ) -> DataFrame:
-    """``docs`` with ``secret_spans``: array<struct<start, end, order, kind>>, by start, then kind as listed."""
+    """``docs`` with ``secret_spans``: array<struct<start, order, end, kind>>, by start, then kind as in ``rules``."""
     trigrams = sorted({t for rule in rules for clause in trigram_query(rule) or [] for t in clause})
     index = stored(build_index(docs, trigrams, text, doc_id), "postings").rows
     hits = candidates(index, rules).select(F.col("doc_id").alias("__hit"), F.col("kinds").alias("__kinds"))
@@ -218,10 +217,10 @@ def find_secrets(
     joined = docs.join(hits.hint("merge"), F.col(doc_id).eqNullSafe(F.col("__hit")), "left")
     whole = F.coalesce(F.col(text), F.lit(""))
     by_rule = [
-        _spans(whole, rule)
+        _spans(whole, rule, i)
         if trigram_query(rule) is None
-        else F.when(F.array_contains("__kinds", rule.kind), _spans(whole, rule))
-        for rule in rules
+        else F.when(F.array_contains("__kinds", rule.kind), _spans(whole, rule, i))
+        for i, rule in enumerate(rules)
     ]
     spans = F.array_sort(F.flatten(F.array_compact(F.array(*by_rule))))
     # structs sort by start, end, order; what is wanted is start, then order
