@@ -517,7 +517,6 @@ _register_geometry(
 
 # E. layout: every query shows a property that rows have only if they are laid out
 
-_PARTITION = F.spark_partition_id()
 _LAYOUT_DIMS = ["o_totalprice", "o_custkey"]
 
 
@@ -533,7 +532,7 @@ def ranges(spark, folder):
     """Ranges of the first dimension do not overlap, there are several, and each is sorted."""
     laid = materialise(
         partitioning.by_first_dimension(_orders(spark, folder), _LAYOUT_DIMS, 8)
-        .withColumn("part", _PARTITION)
+        .withColumn("part", F.spark_partition_id())
         .withColumn("place", F.monotonically_increasing_id())
     ).rows
     by_place = Window.partitionBy("part").orderBy("place")
@@ -567,7 +566,7 @@ def ordered(spark, folder):
     dims = [*_LAYOUT_DIMS, "o_orderkey"]
     laid = partitioning.lexicographic(_orders(spark, folder), dims)
     placed = materialise(
-        laid.withColumn("part", _PARTITION).withColumn("at", F.monotonically_increasing_id())
+        laid.withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id())
     ).rows
     sizes = placed.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"))
     # one row per partition
@@ -582,7 +581,7 @@ def balanced(spark, folder):
     """Eight partitions of about equal size, copies of a tuple in one of them."""
     rows = _orders(spark, folder).select(*_LAYOUT_DIMS)
     twice = rows.unionByName(rows)
-    laid = materialise(partitioning.spread(twice, _LAYOUT_DIMS, 8).withColumn("part", _PARTITION)).rows
+    laid = materialise(partitioning.spread(twice, _LAYOUT_DIMS, 8).withColumn("part", F.spark_partition_id())).rows
     sizes = laid.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
     places = laid.groupBy(*_LAYOUT_DIMS).agg(F.count_distinct("part").alias("n"))
     even = sizes.agg(
@@ -609,7 +608,7 @@ def keyed(spark, folder):
     cell = geometry.cell_id(geometry.grid_coordinates(xs, 8), 8)
     placed = _scaled(spark, folder).withColumn("cell", cell)
     laid = materialise(
-        partitioning.by_key(placed, F.col("cell"), _XS, 8).select("cell").withColumn("part", _PARTITION)
+        partitioning.by_key(placed, F.col("cell"), _XS, 8).select("cell").withColumn("part", F.spark_partition_id())
     ).rows
     cells = laid.groupBy("cell").agg(
         F.count(F.lit(1)).alias("n"), F.min("part").alias("first"), F.max("part").alias("last")
