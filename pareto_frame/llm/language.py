@@ -185,16 +185,20 @@ def training_sample(docs: DataFrame, settings: Settings, text: str, language: st
         F.col(text).alias("text"),
     )
     narrow = usable.select("number", "language")
-    languages = max(1, narrow.agg(F.count_distinct("language")).first()[0])
+    sizes = narrow.groupBy("language").agg(F.count(F.lit(1)).alias("n"))
+    languages = max(1, sizes.count())
     each = max(1, settings.rows // languages)
-    # of each language the rows of smallest number; ranks are cut before the shuffle
+    # hashed ids spread evenly, so a share of their range leaves about twice the rows wanted
+    # of each language, however many there are; the ranks are taken among those
+    share = (F.col("number").cast("double") / 2.0**64 + 0.5) * F.col("n") <= 2.0 * each + 50
     rank = F.row_number().over(Window.partitionBy("language").orderBy("number"))
     limits = (
-        narrow.withColumn("rank", rank)
+        narrow.join(F.broadcast(sizes.limit(settings.rows)), "language")
+        .filter(share)
+        .withColumn("rank", rank)
         .filter(F.col("rank") <= each)
         .groupBy("language")
         .agg(F.max("number").alias("most"))
-        .limit(settings.rows)
     )
     chosen = usable.join(F.broadcast(limits), "language").filter(F.col("number") <= F.col("most"))
 
