@@ -27,6 +27,7 @@ from pareto_frame.llm.hyperminhash import near_duplicates
 from pareto_frame.llm.language import predict, train
 from pareto_frame.llm.lines import dedup_lines
 from pareto_frame.llm.packing import cut, pack
+from pareto_frame.llm.registry import ship_package
 from pareto_frame.llm.secret_scan import find_secrets, redact
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -86,6 +87,7 @@ STAGES: list[tuple[str, Stage]] = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each result is written and read again."""
+    ship_package(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), name).rows
