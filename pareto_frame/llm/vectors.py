@@ -4,16 +4,20 @@ Two codebooks, learned independently for the two halves of the vectors, span a g
 cells; every vector lies in the cell of its nearest codewords. A vector visits the
 cells in the order of their distance, the sum of the two halves' distances, which a
 multi-sequence traversal (a heap that grows from the nearest pair) gives one by one. How
-many cells are visited is measured: a bounded sample of vectors is compared with all, and
-the number is the smallest that reaches ``recall`` of their links.
+many cells are visited is measured for each length of vectors: a bounded sample is compared
+with all, and the number is the smallest that reaches ``recall`` of its links as well as,
+on average, of the links of each probe. For the average equal vectors are one, and of probes
+linked with each other only the first counts, so a hot group weighs as much as a single
+vector. Probes are taken until ``ENOUGH`` such ones have links or all vectors are probed; if
+``MOST_PROBES`` do not suffice, all cells are visited.
 
 Vectors meet in cells of their own label, in bounded blocks of visitors and residents,
 and are compared by cosine in double precision. A link is found if either end visits the
 other's cell; a resident knows which cells it visits itself, so each link counts once for
 each end. Blocks give numbers of links and a spanning forest, never all pairs.
 
-Codebooks are learned from at most ``SAMPLE`` vectors (those of smallest hashed id), and
-recall is measured with the first ``PROBES`` of them; every vector is indexed.
+Codebooks are learned from at most ``SAMPLE`` different vectors (those of smallest hash), and
+recall is measured with ``PROBES`` of them at a time; every vector is indexed.
 
 Defined cases: vectors that are null, zero or hold null or non-finite components, and rows
 with a null label, link with nothing and form their own component; vectors of different
@@ -37,10 +41,13 @@ from pareto_frame.llm.common import stored
 from pareto_frame.llm.components import components
 
 SAMPLE, PROBES = 4096, 2048
-#: Cells that are visited at least, for tables whose sample has few links or none.
+#: Probes with links, none linked with another, that tell enough; probes of one length after which all cells are visited.
+ENOUGH, MOST_PROBES = 400, 16384
+#: Cells that are visited at least, for tables that have few links or none.
 LEAST_VISITS = 4
 #: Codewords of each half; vectors in a block.
 WORDS, BLOCK = 16, 256
+CELLS = WORDS * WORDS
 STEPS = 12
 
 
@@ -127,12 +134,12 @@ def _unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _ranks(probes, index: dict[int, Index], least: float):
-    """How many links of the probes lie in the cell that a probe visits at each rank."""
+    """How many vectors and rows that each probe links with lie in the cell that it visits at each rank."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # the traversal's order, over all cells at once
         at = {w: index[w].order(v) for w, (_, _, v) in probes.items()}
-        total = np.zeros(WORDS * WORDS, np.int64)
+        total = {w: np.zeros((2, len(v) * CELLS), np.int64) for w, (_, _, v) in probes.items()}
         for batch in batches:
             widths = batch.column("width").to_numpy()
             for width, (ids, labels, vectors) in probes.items():
@@ -145,14 +152,27 @@ def _ranks(probes, index: dict[int, Index], least: float):
                 linked &= ids[:, None] != rows.column("id").to_numpy()[None, :]
                 p, r = np.nonzero(linked)
                 if len(p):
-                    total += np.bincount(at[width][p, index[width].cells(found[r])], minlength=len(total))
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["rank", "n"])
+                    place = p * CELLS + at[width][p, index[width].cells(found)[r]]
+                    size = len(vectors) * CELLS
+                    copies = rows.column("copies").to_numpy()[r]
+                    total[width][0] += np.bincount(place, minlength=size)
+                    total[width][1] += np.bincount(place, copies, minlength=size).astype(np.int64)
+        for width, (n, copies) in total.items():
+            used = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.full(len(used), width, np.int32)),
+                    pa.array(used),
+                    pa.array(n[used]),
+                    pa.array(copies[used]),
+                ],
+                ["width", "place", "n", "copies"],
+            )
 
     return run
 
 
-def _placed(index: dict[int, Index], visits: int):
+def _placed(index: dict[int, Index], visits: dict[int, int]):
     """Each row with its cell and the cells it visits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,7 +180,7 @@ def _placed(index: dict[int, Index], visits: int):
             widths = batch.column("width").to_numpy()
             for width in np.unique(widths):
                 rows = batch.filter(pa.array(widths == width))
-                found = index[int(width)].visits(_matrix(rows.column("v")), visits)
+                found = index[int(width)].visits(_matrix(rows.column("v")), visits.get(int(width), CELLS))
                 yield pa.RecordBatch.from_arrays(
                     [*rows.columns, pa.array(found[:, 0]), pa.array(list(found), pa.list_(pa.int64()))],
                     [*rows.schema.names, "cell", "visits"],
@@ -206,6 +226,68 @@ def _compare(least: float):
     return run
 
 
+# the number of visited cells
+
+
+class Measured:
+    """What the probes of one length have told."""
+
+    def __init__(self) -> None:
+        self.probes, self.links, self.shares = 0, np.zeros(CELLS), np.zeros(CELLS)
+        self.labels, self.vectors = [], []
+
+    def add(self, labels: list[str], vectors: np.ndarray, copies: np.ndarray, n: np.ndarray, rows: np.ndarray, least: float):
+        """``n`` and ``rows``: for each probe and rank the different vectors and the rows linked with it."""
+        self.probes += len(vectors)
+        self.links += copies @ rows
+        for i in np.flatnonzero(n.sum(1)):
+            same = [v for label, v in zip(self.labels, self.vectors) if label == labels[i]]
+            if same and (np.array(same) @ vectors[i] >= least).any():
+                continue
+            self.labels.append(labels[i])
+            self.vectors.append(vectors[i])
+            self.shares += n[i] / n[i].sum()
+
+    def settled(self, size: int) -> bool:
+        return self.probes >= size or len(self.vectors) >= ENOUGH
+
+    def visits(self, recall: float) -> int:
+        """The least number that reaches ``recall`` of the links and of the links of each probe."""
+        sums = [x.cumsum() for x in (self.links, self.shares)]
+        return max(LEAST_VISITS, *(int(np.searchsorted(x, recall * x[-1])) + 1 for x in sums))
+
+
+def measured_visits(different: DataFrame, index: dict[int, Index], least: float, recall: float) -> dict[int, int]:
+    """For each length of ``index`` the number of cells to visit; ``different``: order, id, label, width, v, copies."""
+    sizes = different.filter(F.col("width").isin([*index])).groupBy("width").count().toArrow().to_pylist()
+    open_ = {row["width"]: row["count"] for row in sizes}
+    told, visits, last = {w: Measured() for w in open_}, {}, None
+    while open_:
+        rest = different.filter(F.col("width").isin([*open_]))
+        if last is not None:
+            rest = rest.filter(F.struct("order", "id") > F.struct(*[F.lit(x).cast("long") for x in last]))
+        some = rest.orderBy("order", "id").limit(PROBES).toArrow().to_pandas()
+        if some.empty:
+            break
+        last = [int(x) for x in some[["order", "id"]].iloc[-1]]
+        groups = {int(w): g for w, g in some.groupby("width")}
+        probes = {w: (g["id"].to_numpy(), g["label"].tolist(), _matrix(g["v"])) for w, g in groups.items()}
+        found = different.mapInArrow(_ranks(probes, index, least), "width int, place long, n long, copies long")
+        # at most a row per probe and rank
+        sums = found.groupBy("width", "place").agg(F.sum("n").alias("n"), F.sum("copies").alias("copies")).toArrow().to_pandas()
+        for w, (_, labels, vectors) in probes.items():
+            of = sums[sums["width"] == w]
+            n, rows = np.zeros((2, len(vectors) * CELLS), np.int64)
+            n[of["place"]], rows[of["place"]] = of["n"], of["copies"]
+            shape = len(vectors), CELLS
+            told[w].add(labels, vectors, groups[w]["copies"].to_numpy(), n.reshape(shape), rows.reshape(shape), least)
+            if told[w].settled(open_[w]):
+                visits[w] = told[w].visits(recall)
+            if w in visits or told[w].probes >= MOST_PROBES:
+                del open_[w]
+    return visits
+
+
 # the operator
 
 
@@ -226,22 +308,20 @@ def near_vectors(
         F.col(vector).cast("array<double>").alias("v"),
     )
     units = stored(narrow.mapInArrow(_unit, "id long, label string, width int, v binary"), "units").rows
-    sample = units.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).toArrow().to_pandas()
-    index, probes = {}, {}
-    for width, rows in sample.groupby("width"):
-        index[int(width)] = Index(_matrix(rows["v"]))
-        some = rows.head(PROBES)
-        probes[int(width)] = (some["id"].to_numpy(), some["label"].tolist(), _matrix(some["v"]))
+    # equal vectors are one where codebooks are learned and recall is measured
+    different = stored(
+        units.groupBy("label", "width", "v")
+        .agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"))
+        .select(F.xxhash64("id", "label", "v").alias("order"), "id", "label", "width", "v", "copies"),
+        "different",
+    ).rows
+    sample = different.orderBy("order", "id").limit(SAMPLE).toArrow().to_pandas()
+    index = {int(width): Index(_matrix(rows["v"])) for width, rows in sample.groupby("width")}
+    visits = measured_visits(different, index, least, recall)
     # lengths that the sample lacks: a codebook each from one of their rows
     others = units.filter(~F.col("width").isin([*index] or [-1])).groupBy("width").agg(F.min("v").alias("v"))
     for row in others.toLocalIterator():
         index[row["width"]] = Index(np.frombuffer(row["v"], np.float64).reshape(1, -1))
-    ranks = np.zeros(WORDS * WORDS, np.int64)
-    found = units.mapInArrow(_ranks(probes, index, least), "rank long, n long")
-    told = found.groupBy("rank").agg(F.sum("n").alias("n")).toArrow()  # at most a row per rank
-    ranks[told["rank"].to_numpy()] = told["n"].to_numpy()
-    visits = max(LEAST_VISITS, int(np.searchsorted(ranks.cumsum(), recall * ranks.sum())) + 1)
-
     placed = stored(
         units.mapInArrow(
             _placed(index, visits), "id long, label string, width int, v binary, cell long, visits array<long>"

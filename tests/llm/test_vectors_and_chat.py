@@ -64,6 +64,43 @@ def test_near_vectors(table, rows):
     assert [(r.n_links, r.component_id) for r in found if r.vec_id is None] == [(0, None)]
 
 
+@pytest.mark.parametrize("spread", [0.0, 1e-3])
+def test_a_hot_group_hides_no_lost_links(spark, spread):
+    """Pairs that lie in far cells, and a third of all rows equal or nearly so."""
+    rng = np.random.default_rng(8)
+    around = rng.normal(size=32)
+    around *= 2 / np.linalg.norm(around)
+    first = around + rng.normal(size=(600, 32)) / 32**0.5
+    second = first + 0.53 * rng.normal(size=(600, 32)) / 32**0.5 * np.linalg.norm(first, axis=1)[:, None] ** 0.5
+    hot = around + rng.normal(size=32) / 32**0.5 + spread * rng.normal(size=(600, 32))
+    every = np.concatenate([first, second, hot])
+    unit = every / np.linalg.norm(every, axis=1)[:, None]
+    label = [i % 600 for i in range(1200)]  # a label for each pair, so no further links
+    label = [x % 10 for x in label] + [0] * 600
+    linked = (unit @ unit.T >= 0.93) & (np.array(label)[:, None] == np.array(label)[None, :])
+    np.fill_diagonal(linked, False)
+    degree = linked.sum(1)
+    df = spark.createDataFrame([(i, v.tolist(), x) for i, (v, x) in enumerate(zip(every, label))], "vec_id long, embedding array<double>, label int")
+    found = {r.vec_id: r.n_links for r in vectors.near_vectors(df).collect()}
+    cold = [i for i in range(1200) if degree[i]]
+    assert len(cold) > 100 and degree[1200:].min() >= 599
+    assert sum(found[i] / degree[i] for i in cold) / len(cold) >= 0.99
+    assert all(found[i] <= degree[i] for i in found)
+
+
+def test_too_little_evidence_visits_all_cells(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "PROBES", 20)
+    monkeypatch.setattr(vectors, "MOST_PROBES", 40)
+    rng = np.random.default_rng(9)
+    df = spark.createDataFrame(
+        [(i, i, "a", 8, v.tobytes(), 1) for i, v in enumerate(rng.normal(size=(100, 8)))],
+        "order long, id long, label string, width int, v binary, copies long",
+    )
+    index = {8: vectors.Index(rng.normal(size=(100, 8)))}
+    assert vectors.measured_visits(df, index, 1e9, 0.995).get(8) is None
+    assert vectors.measured_visits(df.limit(40), index, 1e9, 0.995) == {8: vectors.LEAST_VISITS}
+
+
 def test_traversal_is_in_order():
     rng = np.random.default_rng(5)
     a, b = rng.random(vectors.WORDS), rng.random(vectors.WORDS)
