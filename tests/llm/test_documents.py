@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -85,6 +86,29 @@ def test_full_and_partly_empty_sketches_agree():
     assert agreeing >= hyperminhash.REGISTERS - 2
 
 
+def test_the_estimate_drops_no_short_pair(spark):
+    """Texts of 8 words and their first 7: similarity 0.75, a shared band, and registers that say less."""
+    rng, rows, pairs = np.random.default_rng(12), [], []
+    while len(pairs) < 3:
+        words = [f"w{x}" for x in rng.integers(0, 10**6, 8)]
+        texts = [" ".join(words), " ".join(words[:7])]
+        sets = [hyperminhash.shingles(t) for t in texts]
+        sketches = np.stack([hyperminhash.sketch(s) for s in sets])
+        keys = hyperminhash.band_keys(sketches)
+        agreeing = (sketches[0] == sketches[1]).sum()
+        if (keys[0] == keys[1]).any() and hyperminhash.estimate(agreeing) < hyperminhash.ESTIMATE:
+            pairs.append((sets, sketches, keys[0][keys[0] == keys[1]][0]))
+            rows += [(len(rows) + i, t) for i, t in enumerate(texts)]
+    found = {r.doc_id: r.component_id for r in hyperminhash.near_duplicates(documents(spark, rows)).collect()}
+    assert found == {i: i // 2 * 2 for i in range(6)}
+    for sets, sketches, key in pairs:
+        block = pd.DataFrame({
+            "band": [key] * 2, "id": [5, 6], "label": [5, 6], "outside": [True, False],
+            "registers": [x.tobytes() for x in sketches], "shingles": [x.tobytes() for x in sets],
+        })
+        assert hyperminhash._crowd(block).values.tolist() == [[6, 5]]
+
+
 # lines
 
 
