@@ -279,11 +279,10 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     if crowds.count:
         links = stored(links.rows.unionByName(_crowded(crowds.rows, registers, links.rows, narrow)), "links")
 
-    labels = components(links.rows)
+    labels = components(links.rows.unionByName(_joined_by_ids(named, classes, members)))
     by_class = classes.join(labels, "id", "left").select(
         *members, F.coalesce("component_id", "id").alias("class_component")
     )
-    # a document id may stand in several classes; its smallest component is that of all
     out = sketched.join(by_class, members, "left").select(
         "doc_id",
         F.col("n").alias("n_shingles"),
@@ -293,6 +292,18 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def _joined_by_ids(named: DataFrame, classes: DataFrame, members: list[str]) -> DataFrame:
+    """Links (a, b) between each document id that stands in several classes and the smallest ids of these."""
+    of_class = F.struct(*members)
+    several = stored(
+        named.groupBy("doc_id").agg(F.min(of_class).alias("a"), F.max(of_class).alias("b")).filter("a <> b").select("doc_id"),
+        "several",
+    )
+    met = named.join(maybe_broadcast(several), "doc_id").select("doc_id", *members)
+    found = met.join(classes.select("id", *members), members).filter(F.col("doc_id") != F.col("id"))
+    return stored(found.select(F.col("doc_id").alias("a"), F.col("id").alias("b")).distinct(), "joined").rows
+
+
 def _verified(pairs: DataFrame, docs: DataFrame):
     """Pairs (a, b) that pass the exact test on the whole texts of both."""
     kept = stored(pairs, "pairs")

@@ -109,6 +109,14 @@ def test_the_estimate_drops_no_short_pair(spark):
         assert hyperminhash._crowd(block).values.tolist() == [[6, 5]]
 
 
+def test_an_id_of_several_texts_joins_their_classes(spark):
+    x, y, z = (" ".join(f"{c}{i}" for i in range(30)) for c in "xyz")
+    rows = [(0, x), (1, x), (1, y), (2, y), (3, z), (4, z), (5, z), (5, None)]
+    found = Counter(tuple(r) for r in hyperminhash.near_duplicates(documents(spark, rows)).select("doc_id", "component_id", "kept").collect())
+    expected = [(0, 0, True), (1, 0, False), (1, 0, False), (2, 0, False), (3, 3, True), (4, 3, False), (5, 3, False), (5, 5, True)]
+    assert found == Counter(expected)
+
+
 # lines
 
 
