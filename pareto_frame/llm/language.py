@@ -10,7 +10,9 @@ stretches of a few words.
 
 Part of the sample is held back to calibrate: a temperature makes the largest probability
 a calibrated confidence, and the rejection threshold is the largest confidence that
-``keep`` of the calibration documents reach, at most ``ceiling``.
+``keep`` of the calibration examples reach; there is no fixed bound, since the least possible
+confidence depends on the number of languages. With one language confidence is always 1, so
+only texts without a letter are rejected.
 
 Since the layer is linear, a subword's share of the logits is looked up as one row
 (embedding times layer), so prediction is one gather over the whole text.
@@ -42,7 +44,6 @@ class Settings:
     epochs: int = 5
     rate: float = 0.5
     keep: float = 0.999
-    ceiling: float = 0.4
     seed: int = 7
 
 
@@ -170,7 +171,7 @@ def fit(docs: list[tuple[int, str, list[bytes]]], settings: Settings) -> Model:
     loss = [-np.log(softmax(raw * s)[np.arange(len(truth)), truth] + 1e-12).mean() for s in scales]
     sharpness = float(scales[int(np.argmin(loss))])
     sure = np.sort(softmax(raw * sharpness).max(1))
-    threshold = min(settings.ceiling, float(sure[int((1 - settings.keep) * len(sure))]))
+    threshold = float(sure[int((1 - settings.keep) * len(sure))])
     return Model(languages, logits.astype(np.float32), bias, sharpness, threshold)
 
 

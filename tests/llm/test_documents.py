@@ -183,6 +183,21 @@ def test_language_learns_and_rejects(spark):
             assert (r.lang_pred, r.score, r.rejected) == ("und", 0.0, True)
 
 
+def test_texts_of_an_unlearned_language_are_rejected():
+    words = {
+        "de": "und der die nicht schön wort haus straße über zwischen".split(),
+        "es": "los las que señor niño casa calle sobre entre pueblo".split(),
+        "xx": "kwyj zbqa ghxv pmwk jjry vvkz qoxh".split(),
+    }
+    rng = np.random.default_rng(13)
+    text = lambda name: " ".join(rng.choice(words[name], 40))
+    learned = [(i, name, language.examples(text(name), i)) for i in range(300) for name in ("de", "es")]
+    model = language.fit(learned, language.Settings())
+    rejected = lambda name: np.mean([model.predict(text(name))[1] < model.threshold for _ in range(100)])
+    assert rejected("de") <= 0.01 and rejected("es") <= 0.01
+    assert rejected("xx") >= 0.9
+
+
 def test_language_without_labels(docs, none):
     model = language.train(none)
     assert language.predict(none, model).count() == 0
