@@ -282,6 +282,15 @@ def test_token_files(docs, none):
     assert token_files.read_documents(docs.sparkSession, token_files.write_tokens(none, WORD, 2)).count() == 0
 
 
+def test_look_up_of_given_documents(docs):
+    folder = token_files.write_tokens(docs, WORD, 2)
+    every = Counter(tuple(r) for r in token_files.read_documents(docs.sparkSession, folder).collect())
+    wanted = sorted({r[0] for r in every if r[0] is not None})[::3] + [1, 5, 10**9]
+    found = Counter(tuple(r) for r in token_files.look_up(docs.sparkSession, folder, wanted).collect())
+    assert found == Counter({r: n for r, n in every.items() if r[0] in wanted}) and sum(found.values()) > 10
+    assert token_files.look_up(docs.sparkSession, folder, []).count() == 0
+
+
 @pytest.mark.parametrize("n", [1, 2, 255, 256, 257, 2000])
 def test_elias_fano(n):
     ends = np.cumsum(np.random.default_rng(n).integers(0, 5000, n))
