@@ -2,7 +2,7 @@
 
 Lines are what stands between line feeds. A line is removed if an equal line stands
 earlier, by ``doc_id``, then line number. A line of at least ``min_chars`` characters is also
-removed if an earlier line is within one edit (a character replaced, inserted or
+removed if an earlier line of at least ``min_chars`` is within one edit (a character replaced, inserted or
 deleted). Earlier lines count whether or not they are removed themselves, so the result
 does not depend on any order of work. Blank lines stay.
 
