@@ -6,6 +6,7 @@ from pareto_frame.llm import (  # noqa: F401
     query_hyperminhash,
     query_language,
     query_lines,
+    query_merkle,
     query_packing,
     query_secrets,
     query_token_files,
