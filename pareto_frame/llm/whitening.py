@@ -110,7 +110,8 @@ def exact_sums(rows: DataFrame) -> list[int]:
         rows.select(F.posexplode("x").alias("i", "x"))
         .groupBy("i")
         .agg(F.sum(F.col("x").cast("decimal(20,0)")).alias("s"))
-        .collect()
+        .toArrow()
+        .to_pylist()
     )
     return [int(r["s"]) for r in sorted(found, key=lambda r: r["i"])]
 
@@ -213,8 +214,9 @@ def identity_error(projected: DataFrame, n: int, k: int, model: Whitening) -> fl
     there = np.flatnonzero(model.values[:k] > 0)
     if not len(there):
         return 0.0
-    means = projected.select(F.posexplode("values").alias("i", "v")).groupBy("i").agg(F.avg("v").alias("m")).collect()
-    mean = F.array(*[F.lit(float(r["m"])) for r in sorted(means, key=lambda r: r["i"])])
+    means = projected.select(F.posexplode("values").alias("i", "v")).groupBy("i").agg(F.avg("v").alias("m"))
+    found = sorted(means.toArrow().to_pylist(), key=lambda r: r["i"])
+    mean = F.array(*[F.lit(float(r["m"])) for r in found])
     again = projected.select("index", F.zip_with("values", mean, lambda v, m: v - m).alias("values"))
     covariance = scatter(block_matrix(again, n, k)) / n
     return float(np.abs(covariance - np.eye(k))[np.ix_(there, there)].max())
