@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from pareto_frame.functions.dominance import every, strictly_dominates, weakly_dominates
 from pareto_frame.functions.geometry import as_number, has_number
+from pareto_frame.operators.boxes import box_merge
 from pareto_frame.operators.joins import (
     BROADCAST_ROWS,
     as_rivals,
@@ -19,10 +20,12 @@ from pareto_frame.operators.joins import (
     rival_names,
     survivors,
 )
+from pareto_frame.operators.local import supports
 from pareto_frame.session import Phase, materialise
 
 WORTHWHILE = 0.8
 BLOCK_ROWS = 4_000
+# Ranges of the two-dimensional sweep, whose summaries pass one task.
 MAX_BLOCKS = 10_000
 BLOCK = "__sky_block"
 
@@ -36,7 +39,8 @@ def global_skyline(
     """Candidates that no other candidate (of the same key) dominates.
 
     ``candidates`` are distinct tuples. Their exact count picks the method, and
-    each method is exact for any input.
+    each method is exact for any input. Types without a 64-bit form (text, long decimals)
+    are merged by joins of blocks, all others by super-boxes.
     """
     if not keys and len(dims) == 1:
         return candidates.rows.agg(F.min(dims[0]).alias(dims[0])).filter(
@@ -46,6 +50,14 @@ def global_skyline(
         return broadcast_merge(candidates.rows, dims, keys)
     if not keys and len(dims) == 2:
         return sweep_merge(candidates, dims)
+    types = {f.name: f.dataType for f in candidates.rows.schema.fields}
+    if all(supports(types[c]) for c in dims):
+        return box_merge(
+            candidates,
+            dims,
+            keys,
+            after_local=lambda left: broadcast_merge(left.rows, dims, keys) if left.count <= limit else None,
+        )
     blocks = cut_into_blocks(candidates, dims, keys)
     while not keys:
         smaller = materialise(below_no_corner(blocks, dims))
@@ -62,7 +74,7 @@ def below_no_corner(blocks: DataFrame, dims: Sequence[str]) -> DataFrame:
     """Rows that no block dominates as a whole.
 
     A row worse than the upper corner of a block is dominated by every row of
-    that block. There are at most MAX_BLOCKS corners.
+    that block. There is one corner for BLOCK_ROWS candidates.
     """
     corners = blocks.groupBy(BLOCK).agg(*[F.max(c).alias(c) for c in dims])
     return survivors(blocks, dims, corners).select(*dims)
@@ -116,7 +128,7 @@ def cut_into_blocks(
     cut and no block outgrows the others. The blocks are checkpointed because
     their numbers must not change between the joins that use them.
     """
-    blocks = min(max(ceil(candidates.count / BLOCK_ROWS), 1), MAX_BLOCKS)
+    blocks = max(ceil(candidates.count / BLOCK_ROWS), 1)
     lead = list(lead) or _quantile_buckets(candidates.rows, dims, blocks)
     laid = candidates.rows.repartitionByRange(blocks, *keys, *lead, *dims)
     return materialise(laid.withColumn(BLOCK, F.spark_partition_id())).rows

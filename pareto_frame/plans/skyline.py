@@ -27,7 +27,7 @@ from pareto_frame.functions.geometry import (
     rescale,
     squared_norm,
 )
-from pareto_frame.operators import partitioning
+from pareto_frame.operators import lattice, partitioning
 from pareto_frame.operators.aggregates import (
     best_representatives,
     occupied_cells,
@@ -44,7 +44,8 @@ from pareto_frame.operators.joins import (
     survivors_of_many,
 )
 from pareto_frame.operators.local import local_skyline, supports
-from pareto_frame.operators.merge import block_merge, cut_into_blocks, global_skyline
+from pareto_frame.operators.boxes import box_merge
+from pareto_frame.operators.merge import broadcast_merge, global_skyline
 from pareto_frame.session import Phase, default_partitions, materialise, no_derived_constraints
 
 FEW_ROWS = 10_000
@@ -416,7 +417,11 @@ def _grid(source: Input, slices: int = 2) -> Tuples:
 
 
 def _grid_parallel(source: Input, slices: int = 2) -> Tuples:
-    """Dominated cells dropped, one skyline per cell, cells refined by their neighbours."""
+    """Dominated cells dropped, one skyline per cell, cells refined by what lies below them.
+
+    Of more candidates than are broadcast, those that the summary of the cells below rules out are
+    final; the others meet candidates by super-boxes.
+    """
     first = source.having(materialise(_distinct(source, _combined(source))).rows)
     alive = _combined(replace(source, rows=_in_surviving_cells(first, slices)))
     names = [f"__sky_c{i}" for i in range(len(source.xs))]
@@ -432,9 +437,21 @@ def _grid_parallel(source: Input, slices: int = 2) -> Tuples:
     if candidates.count <= source.limit:
         merged = global_skyline(candidates, source.xs, limit=source.limit)
         return Tuples(merged.select(*source.xs), candidates.count)
-    blocks = cut_into_blocks(candidates, source.xs, lead=[cell])
-    merged = block_merge(blocks, source.xs, cells=names)
-    return Tuples(merged, candidates.count)
+    mark = None
+    if lattice.fits(slices, len(source.xs)):
+        below = materialise(lattice.minima_below(candidates.rows, names, source.xs, slices))
+        summary = F.broadcast(below.rows) if below.count <= BROADCAST_CELLS else below.rows
+
+        def mark(rows: DataFrame) -> DataFrame:
+            placed = rows.withColumns(dict(zip(names, coordinates, strict=True)))
+            return lattice.mark_open(placed, names, source.xs, summary)
+
+    tuples = Phase(candidates.rows.select(*source.xs), candidates.count)
+
+    def few(left: Phase) -> DataFrame | None:
+        return broadcast_merge(left.rows, source.xs) if left.count <= source.limit else None
+
+    return Tuples(box_merge(tuples, source.xs, mark=mark, after_local=few), candidates.count)
 
 
 def _aggregate(source: Input) -> Tuples:
