@@ -19,16 +19,14 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Callable, Iterator, Sequence
-from functools import partial, reduce
+from functools import partial
 from math import ceil
-from operator import add
 
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from pareto_frame.functions.dominance import every
 from pareto_frame.functions.geometry import as_number, has_number
@@ -37,7 +35,6 @@ from pareto_frame.operators.local import (
     _pairwise,
     _total_order,
     local_skyline,
-    supports,
 )
 from pareto_frame.session import Phase, default_partitions, materialise
 
@@ -53,29 +50,33 @@ BOX, ORDER, OPEN, GROUP = "__sky_box", "__sky_z", "__sky_open", "__sky_group"
 SLOT, SIDE = "__sky_slot", "__sky_side"
 
 
-def z_order(rows: DataFrame, dims: Sequence[str]) -> Column:
-    """A number that is never larger for a dominator: interleaved bits of quantile buckets.
+def z_order(rows: DataFrame, dims: Sequence[str]) -> Callable[[DataFrame], DataFrame]:
+    """Adds ORDER, a number that is never larger for a dominator: interleaved bits of quantile buckets.
 
     It says how near tuples are to each other; the order of equal numbers is settled by the dimensions. Types
-    without a number all get 0.
+    without a number all get 0. The quantiles are those of ``rows``.
     """
     types = {f.name: f.dataType for f in rows.schema.fields}
     used = list(dims)[:60]
     if not all(has_number(types[c]) for c in used):
-        return F.lit(0).cast("long")
+        return lambda df: df.withColumn(ORDER, F.lit(0).cast("long"))
     bits = max(1, min(4, ceil(18 / len(used))))
-    numbers = rows.select(*[as_number(F.col(c), types[c]).alias(c) for c in used])
+    names = [f"__sky_n{i}" for i in range(len(used))]
+    numbers = {n: as_number(F.col(c), types[c]) for c, n in zip(used, names, strict=True)}
     shares = [i / 2**bits for i in range(1, 2**bits)]
-    cuts = numbers.approxQuantile(used, shares, 0.02)
+    # one mergeable sketch per dimension
+    sketches = [F.percentile_approx(n, shares, 200).alias(n) for n in names]
+    found = rows.select(*[x.alias(n) for n, x in numbers.items()]).agg(*sketches).first()
     terms = []
-    for i, (c, bounds) in enumerate(zip(used, cuts, strict=True)):
-        x = as_number(F.col(c), types[c])
-        steps = [F.when(x > F.lit(v), 1).otherwise(0) for v in sorted(set(bounds))]
-        bucket = reduce(add, steps, F.lit(0)).cast("long")
-        for level in range(bits):
-            place = level * len(used) + len(used) - 1 - i
-            terms.append(F.shiftleft(F.shiftright(bucket, level).bitwiseAND(F.lit(1).cast("long")), place))
-    return reduce(add, terms)
+    for i, name in enumerate(names):
+        steps = " + ".join(f"int({name} > double('{v!r}'))" for v in sorted(set(found[name] or []))) or "0"
+        terms += [
+            f"shiftleft(shiftright({steps}, {level}) & 1L, {level * len(used) + len(used) - 1 - i})"
+            for level in range(bits)
+        ]
+    # as text: a tree of so many Columns takes longer to build than the query
+    number = F.expr(" + ".join(terms))
+    return lambda df: df.withColumns(numbers).withColumn(ORDER, number).drop(*names)
 
 
 def super_boxes(
@@ -85,12 +86,12 @@ def super_boxes(
     tasks = WAVES * default_partitions(candidates.rows)
     fair = max(LEAST_ROWS, ceil(candidates.count / tasks))
     n = max(1, ceil(candidates.count / (box_rows or min(SUPER_BYTES // (8 * len(dims)), fair))))
-    z = z_order(candidates.rows, dims)
-    placed = candidates.rows.select(*keys, *dims, z.alias(ORDER))
+    with_order = z_order(candidates.rows, dims)
+    placed = with_order(candidates.rows.select(*keys, *dims))
     order = [*keys, ORDER, *dims]
     laid = placed.repartitionByRange(n, *order).sortWithinPartitions(*order)
     kept = local_skyline(laid, dims, keys, presorted=not keys, by_key=bool(keys))
-    return materialise(kept.select("*", F.spark_partition_id().alias(BOX), z.alias(ORDER)))
+    return materialise(with_order(kept.withColumn(BOX, F.spark_partition_id())))
 
 
 def box_merge(

@@ -27,6 +27,7 @@ _BUFFER_ROWS = 32_768
 _BLOCK_ROWS = 256
 _PANEL_ROWS = 8_192
 _MOST_KEPT = 500_000
+OVER = "__sky_over"
 
 
 def supports(dtype: T.DataType) -> bool:
@@ -62,6 +63,10 @@ def local_skyline(
     ``presorted`` partitions must list dominators before what they dominate (any
     monotone score, then the dimensions). A kept tuple is then final and leaves
     at once; otherwise later tuples may evict earlier ones. Without nulls in ``dims``.
+
+    Without keys a task holds at most about ``_MOST_KEPT`` tuples as well: beyond, an unsorted pass lets
+    them go and starts anew, and a sorted one compares with the first ones only. ``window_pass``
+    is the pass whose result is exact with any bound.
     """
     narrow = df.select(*keys, *dims)
     task = partial(
@@ -93,7 +98,8 @@ def _keep_in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
             rows = np.flatnonzero(~_covered(order, kept))
         rows = rows[_sweep([o[rows] for o in order])]
         if rows.size:
-            kept = _append(kept, [o[rows] for o in order])
+            if kept is None or len(kept[0]) < _MOST_KEPT:
+                kept = _append(kept, [o[rows] for o in order])
             yield table.take(pa.array(rows))
 
 
@@ -115,10 +121,62 @@ def _keep_with_eviction(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]
             fresh = pa.concat_tables([kept.take(pa.array(stay)), fresh])
             fresh_order = _append([o[stay] for o in kept_order], fresh_order)
         kept, kept_order = fresh, fresh_order
+        if kept.num_rows > _MOST_KEPT:
+            yield kept
+            kept, kept_order = None, None
     if kept is not None:
         yield kept
 
 
+def window_pass(df: DataFrame, dims: Sequence[str], window: int) -> DataFrame:
+    """One pass with a window of at most ``window`` tuples over every partition; adds OVER.
+
+    Rows with OVER false are not dominated in their partition, finally. Those with OVER true have to
+    go through another pass among each other: tuples that found the window full, and tuples of the window
+    that have not met all of those.
+    """
+    narrow = df.select(*dims)
+    schema = T.StructType([*narrow.schema.fields, T.StructField(OVER, T.BooleanType())])
+    return narrow.mapInArrow(partial(_through_window, window=window), schema)
+
+
+def _through_window(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+    kept, kept_order, scale = None, None, None
+    # of each kept tuple, whether it came before the first one that was turned away
+    early, turned_away = np.zeros(0, dtype=bool), False
+
+    def out(table: pa.Table, over: bool) -> Iterator[pa.RecordBatch]:
+        if table.num_rows:
+            flag = pa.array(np.full(table.num_rows, over))
+            yield from table.append_column(OVER, flag).combine_chunks().to_batches()
+
+    for table in _buffered(batches):
+        order = [_total_order(c) for c in table.columns]
+        scale = scale or [_linear_scale(c) for c in table.columns]
+        rows = _dominators_first(table.columns, order, None, scale)
+        if kept is not None:
+            rows = rows[~_covered([o[rows] for o in order], kept_order)]
+        rows = rows[_sweep([o[rows] for o in order])]
+        if kept is not None and rows.size:
+            stay = np.flatnonzero(~_covered(kept_order, [o[rows] for o in order]))
+            kept, kept_order = kept.take(pa.array(stay)), [o[stay] for o in kept_order]
+            early = early[stay]
+        room = window - len(early)
+        fits, rest = rows[:room], rows[room:]
+        if fits.size:
+            fresh = table.take(pa.array(fits))
+            kept = fresh if kept is None else pa.concat_tables([kept, fresh])
+            kept_order = _append(kept_order, [o[fits] for o in order])
+            # it has met all tuples of this buffer, but none that was turned away before
+            early = np.concatenate([early, np.full(fits.size, not turned_away)])
+        if rest.size:
+            turned_away = True
+            yield from out(table.take(pa.array(rest)), True)
+    if kept is not None:
+        for over in (False, True):
+            yield from out(kept.take(pa.array(np.flatnonzero(early != over))), over)
+
+
 def _keep_per_group(
     batches: Iterator[pa.RecordBatch], n_keys: int, by_key: bool
 ) -> Iterator[pa.Table]:

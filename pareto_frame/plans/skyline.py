@@ -43,7 +43,7 @@ from pareto_frame.operators.joins import (
     survivors,
     survivors_of_many,
 )
-from pareto_frame.operators.local import local_skyline, supports
+from pareto_frame.operators.local import OVER, local_skyline, supports, window_pass
 from pareto_frame.operators.boxes import box_merge
 from pareto_frame.operators.merge import broadcast_merge, global_skyline
 from pareto_frame.session import Phase, default_partitions, materialise, no_derived_constraints
@@ -297,10 +297,25 @@ def _sql(source: Input) -> Tuples:
     return _merged(source, materialise(minimal_partners(rows, by_values).select(*source.xs)))
 
 
-def _bnl(source: Input) -> Tuples:
-    """Unsorted window pass on balanced partitions."""
+def _bnl(source: Input, window: int = 200_000) -> Tuples:
+    """Unsorted passes with a window of at most ``window`` tuples on balanced partitions.
+
+    What a full window turns away is stored and goes through another pass, until none is
+    turned away; every pass settles at least the tuples that came before the first of those.
+    """
+    if window < 1:
+        raise ValueError("a window holds at least one tuple")
     laid = partitioning.spread(_combined(source), source.xs, source.partitions)
-    return _merged(source, materialise(local_skyline(laid, source.xs)))
+    settled, n = [], 0
+    while True:
+        phase = materialise(window_pass(laid, source.xs, window), marked=OVER)
+        settled.append(phase.rows.filter(~F.col(OVER)).drop(OVER))
+        n += phase.count - phase.marked
+        if not phase.marked:
+            break
+        # partitions stay as they are, so what was settled has met these rows
+        laid = phase.rows.filter(OVER).drop(OVER)
+    return _merged(source, Phase(reduce(DataFrame.unionByName, settled), n))
 
 
 def _sfs(source: Input) -> Tuples:

@@ -8,6 +8,7 @@ upstream from running again, and survives the loss of executors.
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from contextlib import contextmanager
 from dataclasses import dataclass
@@ -47,33 +48,49 @@ def default_partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+_PLANNING = threading.Lock()
+# of each session, how many calls are planning, and the setting before the first of them
+_DERIVING_OFF: dict[str, tuple[int, str]] = {}
+
+
 @contextmanager
 def no_derived_constraints(spark: SparkSession):
     """Plan without deriving conditions from conditions.
 
     A condition over all of many dimensions, renamed one by one, would be derived in every
-    combination of old and new names, which takes longer than any query.
+    combination of old and new names, which takes longer than any query. The setting belongs to the
+    session, so of several threads the last one to finish restores it.
     """
-    key = "spark.sql.constraintPropagation.enabled"
-    before = spark.conf.get(key)
-    spark.conf.set(key, "false")
+    key, name = "spark.sql.constraintPropagation.enabled", spark._jsparkSession.sessionUUID()
+    with _PLANNING:
+        calls, before = _DERIVING_OFF.get(name, (0, spark.conf.get(key)))
+        _DERIVING_OFF[name] = calls + 1, before
+        spark.conf.set(key, "false")
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        with _PLANNING:
+            calls, before = _DERIVING_OFF.pop(name)
+            if calls > 1:
+                _DERIVING_OFF[name] = calls - 1, before
+            else:
+                spark.conf.set(key, before)
 
 
 @dataclass(frozen=True)
 class Phase:
-    """A checkpointed intermediate result and its exact number of rows."""
+    """A checkpointed intermediate result, its exact number of rows, and of those that are marked."""
 
     rows: DataFrame
     count: int
+    marked: int = 0
 
 
-def materialise(df: DataFrame) -> Phase:
-    """Checkpoint ``df`` and count it in the same job."""
+def materialise(df: DataFrame, marked: str | None = None) -> Phase:
+    """Checkpoint ``df`` and count it, and the rows where column ``marked`` is true, in the same job."""
     shared_folder(df.sparkSession)
     seen = Observation()
-    kept = df.observe(seen, F.count(F.lit(1)).alias("n")).checkpoint()
-    return Phase(kept, int(seen.get["n"]))
+    true = F.col(marked) if marked else F.lit(False)
+    counts = [F.count(F.lit(1)).alias("n"), F.count_if(true).alias("marked")]
+    kept = df.observe(seen, *counts).checkpoint()
+    return Phase(kept, int(seen.get["n"]), int(seen.get["marked"]))

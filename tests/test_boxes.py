@@ -73,7 +73,7 @@ def test_types_nan_infinities_and_equal_buckets(spark):
 def test_the_order_lists_dominators_first(spark):
     points = [tuple(map(float, p)) for p in anti(np.random.default_rng(5), 300, 4)]
     df = materialise(spark.createDataFrame(points, ["a", "b", "c", "d"])).rows
-    placed = df.withColumn("z", boxes.z_order(df, df.columns)).collect()
+    placed = boxes.z_order(df, df.columns)(df).withColumnRenamed(boxes.ORDER, "z").collect()
     assert len({r.z for r in placed}) > 50
     for p, q in itertools.combinations(placed, 2):
         for low, high in ((p, q), (q, p)):
