@@ -45,7 +45,9 @@ SUPER_BYTES = 16 << 20
 LEAST_ROWS = 4_000
 #: Super-boxes for each shuffle partition, so that late ones, which meet more rows, balance out.
 WAVES = 3
-PANEL, LEAF = 512, 128
+PANEL, LEAF, FAN = 512, 128, 32
+#: What one share of the points of a filter may take, in the driver and in every task.
+SHARE_BYTES = 32 << 20
 BOX, ORDER, OPEN, GROUP = "__sky_box", "__sky_z", "__sky_open", "__sky_group"
 SLOT, SIDE = "__sky_slot", "__sky_side"
 
@@ -224,7 +226,7 @@ def _not_covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 own = [pa.concat_tables(own).combine_chunks()]
                 order = np.stack([_total_order(c) for c in own[0].columns[4:]])
             rivals = np.stack([_total_order(c) for c in part.columns[4:]])
-            stay = np.flatnonzero(~covered_in_order(order, rivals))
+            stay = np.flatnonzero(~covered_in_order(order, PackedBoxes(rivals)))
             if stay.size < order.shape[1]:
                 own, order = [own[0].take(pa.array(stay))], order[:, stay]
     yield from _flushed(own)
@@ -235,41 +237,109 @@ def _flushed(own: list[pa.Table]) -> Iterator[pa.RecordBatch]:
         yield from table.combine_chunks().to_batches()
 
 
-def corners_of(points: np.ndarray, size: int, best: np.ufunc) -> np.ndarray:
-    """Per dimension the least or greatest value of every ``size`` neighbours."""
-    return best.reduceat(points, np.arange(0, points.shape[1], size), axis=1)
+class PackedBoxes:
+    """Points (a column each) in an order of neighbours, under a tree of lower corners.
 
+    Leaves have LEAF points, inner nodes FAN children; all are neighbours, so the tree is an array of
+    minima per level.
+    """
+
+    def __init__(self, points: np.ndarray):
+        self.points = points
+        self.levels = [_lower(points, LEAF)] if points.shape[1] else []
+        while self.levels and self.levels[-1].shape[1] > FAN:
+            self.levels.append(_lower(self.levels[-1], FAN))
+        # the least corner of each leaf and all later ones
+        self.to_come = np.minimum.accumulate(self.levels[0][:, ::-1], axis=1)[:, ::-1] if self.levels else None
+
+    def reaching(self, upper: np.ndarray) -> np.ndarray:
+        """Leaves, in order, with a corner that ``upper`` is nowhere below.
+
+        The running minimum of the corners still to come ends the search as soon as no later leaf can matter.
+        """
+        if not self.levels or not (self.levels[-1] <= upper[:, None]).all(axis=0).any():
+            return np.zeros(0, dtype=np.int64)
+        nodes = np.arange(self.levels[-1].shape[1])
+        for depth in range(len(self.levels) - 1, -1, -1):
+            corners = self.levels[depth]
+            nodes = nodes[(corners[:, nodes] <= upper[:, None]).all(axis=0)]
+            if depth:
+                children = (nodes[:, None] * FAN + np.arange(FAN)).ravel()
+                nodes = children[children < self.levels[depth - 1].shape[1]]
+        last = np.count_nonzero((self.to_come <= upper[:, None]).all(axis=0))
+        return nodes[nodes < last]
+
+    def leaf(self, number: int) -> np.ndarray:
+        return self.points[:, number * LEAF : (number + 1) * LEAF]
 
-def covered_in_order(p: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Which columns of ``p`` some column of ``q`` weakly dominates; neighbours should be near each other.
 
-    Panels of ``p`` meet only those leaves of ``q`` whose lower corner reaches their upper one, then only with
-    the tuples that reach the corner of the other side. Leaves are tried in order, and the running minimum of
-    the corners still to come ends the search as soon as none can reach the panel.
+def _lower(points: np.ndarray, size: int) -> np.ndarray:
+    return np.minimum.reduceat(points, np.arange(0, points.shape[1], size), axis=1)
+
+
+def covered_in_order(p: np.ndarray, boxes: PackedBoxes, strict: bool = False) -> np.ndarray:
+    """Which columns of ``p`` some point of ``boxes`` weakly dominates; with ``strict`` equal ones don't count.
+
+    Neighbours in ``p`` should be near each other. Panels of them meet only the leaves that reach their upper
+    corner, then only the tuples that reach the corner of the other side.
     """
     result = np.zeros(p.shape[1], dtype=bool)
-    if not q.shape[1]:
-        return result
-    lower = corners_of(q, LEAF, np.minimum)
-    to_come = np.minimum.accumulate(lower[:, ::-1], axis=1)[:, ::-1]
     for start in range(0, p.shape[1], PANEL):
         panel = p[:, start : start + PANEL]
         rows = np.arange(start, start + panel.shape[1])
-        upper = panel.max(axis=1)[:, None]
-        last = int(np.count_nonzero((to_come <= upper).all(axis=0)))
-        for leaf in np.flatnonzero((lower[:, :last] <= upper).all(axis=0)):
-            near = (panel >= lower[:, leaf][:, None]).all(axis=0)
-            if not near.any():
+        upper = panel.max(axis=1)
+        for number in boxes.reaching(upper).tolist():
+            some = boxes.leaf(number)
+            near = (panel >= some.min(axis=1)[:, None]).all(axis=0)
+            some = some[:, (some <= upper[:, None]).all(axis=0)]
+            if not near.any() or not some.shape[1]:
                 continue
-            some = q[:, leaf * LEAF : (leaf + 1) * LEAF]
-            some = some[:, (some <= upper).all(axis=0)]
-            if not some.shape[1]:
-                continue
-            hit = np.flatnonzero(near)[_pairwise(panel[:, near], some).any(axis=1)]
+            pairs = _pairwise(panel[:, near], some)
+            if strict:
+                below, above = np.nonzero(pairs)
+                pairs[below, above] = (panel[:, near][:, below] != some[:, above]).any(axis=0)
+            hit = np.flatnonzero(near)[pairs.any(axis=1)]
             if hit.size:
                 result[rows[hit]] = True
                 rows, panel = np.delete(rows, hit), np.delete(panel, hit, axis=1)
                 if not rows.size:
                     break
-                upper = panel.max(axis=1)[:, None]
+                upper = panel.max(axis=1)
     return result
+
+
+# A filter by many points
+
+
+def not_dominated_by(rows: DataFrame, dims: Sequence[str], rivals: Phase) -> DataFrame:
+    """Rows, with all their columns, that none of any number of ``rivals`` strictly dominates.
+
+    Rivals are sent to the tasks as a packed tree, in shares of at most SHARE_BYTES; the rows left by
+    one share are stored before the next one is sent, so one tree is alive at a time.
+    """
+    shares = max(1, ceil(rivals.count * 8 * len(dims) / SHARE_BYTES))
+    with_order = z_order(rivals.rows, dims)
+    numbered = with_order(rivals.rows.select(*dims, F.pmod(F.xxhash64(*dims), F.lit(shares)).alias(SLOT)))
+    context = rows.sparkSession.sparkContext
+    schema = rows.schema
+    for share in range(shares):
+        table = numbered.filter(F.col(SLOT) == share).sort(ORDER).select(*dims).toArrow()
+        if not table.num_rows:
+            continue
+        tree = context.broadcast(np.stack([_total_order(c) for c in table.columns]))
+        task = partial(_outside, tree=tree, dims=list(dims))
+        rows = with_order(rows).mapInArrow(task, schema)
+        if share < shares - 1:
+            rows = materialise(rows).rows
+    return rows
+
+
+def _outside(batches: Iterator[pa.RecordBatch], tree, dims: list[str]) -> Iterator[pa.RecordBatch]:
+    boxes = PackedBoxes(tree.value)
+    for table in _buffered(batches):
+        near = np.argsort(table.column(ORDER).to_numpy(), kind="stable")
+        table = table.drop_columns([ORDER])
+        points = np.stack([_total_order(table.column(c)) for c in dims])[:, near]
+        stay = np.sort(near[~covered_in_order(points, boxes, strict=True)])
+        if stay.size:
+            yield from table.take(pa.array(stay)).combine_chunks().to_batches()

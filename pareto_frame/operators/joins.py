@@ -19,6 +19,8 @@ from pareto_frame.functions.dominance import (
     strictly_dominates,
     weakly_dominates,
 )
+from pareto_frame.operators.boxes import not_dominated_by
+from pareto_frame.operators.local import supports
 from pareto_frame.session import Phase, materialise
 
 BROADCAST_ROWS = 100_000
@@ -57,10 +59,18 @@ def survivors(
 def survivors_of_many(
     rows: DataFrame, dims: Sequence[str], rivals: Phase, limit: int = BROADCAST_ROWS
 ) -> DataFrame:
-    """``survivors`` for any number of rivals, in shares of at most ``limit`` or ``SHARE_ROWS``."""
-    shares = max(1, ceil(rivals.count / max(SHARE_ROWS, limit)))
-    if shares == 1:
+    """``survivors`` for any number of rivals.
+
+    Up to ``limit`` an anti-join with all of them; beyond it, a pass against a packed tree, or for types
+    without a 64-bit form anti-joins with shares of at most ``limit`` or ``SHARE_ROWS``.
+    """
+    if rivals.count <= limit:
         return survivors(rows, dims, rivals.rows)
+    types = [(rows.schema[c].dataType, rivals.rows.schema[c].dataType) for c in dims]
+    # 64-bit forms compare within one type only
+    if all(p == q and supports(p) for p, q in types):
+        return not_dominated_by(rows, dims, rivals)
+    shares = max(1, ceil(rivals.count / max(SHARE_ROWS, limit)))
     share = F.pmod(F.xxhash64(*dims), F.lit(shares))
     for i in range(shares):
         rows = survivors(rows, dims, rivals.rows.filter(share == i))

@@ -35,12 +35,13 @@ def global_skyline(
     dims: Sequence[str],
     keys: Sequence[str] = (),
     limit: int = BROADCAST_ROWS,
+    native: bool = False,
 ) -> DataFrame:
     """Candidates that no other candidate (of the same key) dominates.
 
     ``candidates`` are distinct tuples. Their exact count picks the method, and
     each method is exact for any input. Types without a 64-bit form (text, long decimals)
-    are merged by joins of blocks, all others by super-boxes.
+    are merged by joins of blocks, as with ``native``; all others by super-boxes.
     """
     if not keys and len(dims) == 1:
         return candidates.rows.agg(F.min(dims[0]).alias(dims[0])).filter(
@@ -51,7 +52,7 @@ def global_skyline(
     if not keys and len(dims) == 2:
         return sweep_merge(candidates, dims)
     types = {f.name: f.dataType for f in candidates.rows.schema.fields}
-    if all(supports(types[c]) for c in dims):
+    if not native and all(supports(types[c]) for c in dims):
         return box_merge(
             candidates,
             dims,

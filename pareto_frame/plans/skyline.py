@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
 from functools import cached_property, partial, reduce
+from math import prod
 from operator import add
 
 from pyspark.sql import Column, DataFrame
@@ -45,10 +46,12 @@ from pareto_frame.operators.joins import (
 )
 from pareto_frame.operators.local import OVER, local_skyline, supports, window_pass
 from pareto_frame.operators.boxes import box_merge
-from pareto_frame.operators.merge import broadcast_merge, global_skyline
+from pareto_frame.operators.merge import WORTHWHILE, broadcast_merge, global_skyline
 from pareto_frame.session import Phase, default_partitions, materialise, no_derived_constraints
 
 FEW_ROWS = 10_000
+# Rows of the filters that the strategy without Python takes from the input, and from what those leave.
+FRONTIER_ROWS, LARGER_FRONTIER = 1_000, 10_000
 # Cells up to this number are shipped to every task in a semi-join; more are shuffled.
 BROADCAST_CELLS = 32_768
 
@@ -76,12 +79,15 @@ class Input:
         pairs = zip(self.xs, self.types, strict=True)
         return [as_number(F.col(x), t) for x, t in pairs]
 
+    def summary_columns(self, extent: bool = True) -> list[Column]:
+        """Row count, and the finite extent of each dimension."""
+        xs = [finite(n) for n in self.numbers()] if extent else []
+        ends = [f(x).alias(f"{f.__name__}{i}") for i, x in enumerate(xs) for f in (F.min, F.max)]
+        return [F.count(F.lit(1)).alias("n"), *ends]
+
     @cached_property
     def _summary(self):
-        """Row count and finite extent of each dimension, in one aggregation."""
-        xs = [finite(n) for n in self.numbers()]
-        ends = [f(x).alias(f"{f.__name__}{i}") for i, x in enumerate(xs) for f in (F.min, F.max)]
-        return self.rows.agg(F.count(F.lit(1)).alias("n"), *ends).first()
+        return self.rows.agg(*self.summary_columns()).first()
 
     @property
     def count(self) -> int:
@@ -226,8 +232,8 @@ def _combined(source: Input) -> DataFrame:
     return local_skyline(source.rows, source.xs)
 
 
-def _merged(source: Input, candidates: Phase) -> Tuples:
-    merged = global_skyline(candidates, source.xs, limit=source.limit)
+def _merged(source: Input, candidates: Phase, native: bool = False) -> Tuples:
+    merged = global_skyline(candidates, source.xs, limit=source.limit, native=native)
     return Tuples(merged, candidates.count)
 
 
@@ -273,28 +279,46 @@ def _auto(source: Input) -> Tuples:
 def _sql(source: Input) -> Tuples:
     """NOT EXISTS as an anti-join, without Python.
 
-    The right side is first reduced to the rows that matter as dominators. An input of more
-    than ``broadcast_rows`` rows is filtered by the best row of each dimension before it is
-    shuffled for that; they come from the same pass as the sizes.
+    Rows are first filtered by a frontier, those of smallest score, which is sent to every task; what is left is
+    stored, and filtered by larger frontiers of its own while that pays. Where the values of all dimensions
+    but one make few combinations, only the least of the last one is kept for each. Sizes and ends of
+    the scale come from one pass.
     """
-    distinct = [F.approx_count_distinct(x).alias(x) for x in source.xs]
-    # for each dimension the row that is best in it, ties by the others: strong dominators
-    best = [
-        F.min(F.struct(*source.xs[i:], *source.xs[:i])).alias(f"best{i}")
-        for i in range(len(source.xs))
-    ]
-    summary = source.rows.agg(F.count(F.lit(1)).alias("n"), *distinct, *best)
-    sizes = summary.first()
-    rows = source.rows
-    if sizes["n"] > source.limit:
-        # one row per dimension
-        points = [tuple(sizes[f"best{i}"][x] for x in source.xs) for i in range(len(source.xs))]
-        schema = T.StructType([T.StructField(x, t) for x, t in zip(source.xs, source.types, strict=True)])
-        rivals = rows.sparkSession.createDataFrame(points, schema)
-        rows = survivors(rows, source.xs, rivals)
+    distinct = [F.approx_count_distinct(x).alias(f"values{i}") for i, x in enumerate(source.xs)]
+    scaled = all(has_number(t) for t in source.types)
+    sizes = source.rows.agg(*source.summary_columns(scaled), *distinct).first()
+    ends = tuple(sizes[f"{end}{i}"] for i in range(len(source.xs)) for end in ("min", "max")) if scaled else None
+    known = replace(source, extent=ends)
+    filtered = scaled and sizes["n"] > FEW_ROWS
+    rows = _below_no_frontier(known, FRONTIER_ROWS) if filtered else source.rows
+    values = [sizes[f"values{i}"] for i in range(len(source.xs))]
     # the dimension with most values goes last: that leaves the fewest rows
-    by_values = sorted(source.xs, key=lambda x: sizes[x])
-    return _merged(source, materialise(minimal_partners(rows, by_values).select(*source.xs)))
+    by_values = sorted(range(len(source.xs)), key=lambda i: values[i])
+    if prod(values[i] for i in by_values[:-1]) < sizes["n"] / 2:
+        rows = minimal_partners(rows, [source.xs[i] for i in by_values]).select(*source.xs)
+    else:
+        rows = rows.distinct()
+    left = materialise(rows)
+    while filtered and left.count > LARGER_FRONTIER:
+        size = left.count
+        score = known.score()
+        # up to about the wanted number of rows, so that not every task sends as many
+        share = min(1.0, 2 * LARGER_FRONTIER / size)
+        enough = left.rows.agg(F.percentile_approx(score, share, 10_000)).first()[0]
+        near = replace(known, rows=left.rows.filter(score <= F.lit(enough)))
+        left = materialise(_below_no_frontier(replace(known, rows=left.rows), LARGER_FRONTIER, near))
+        if left.count > WORTHWHILE * size:
+            break
+    return _merged(source, left, native=True)
+
+
+def _below_no_frontier(source: Input, size: int, near: Input | None = None) -> DataFrame:
+    """Rows that none of the ``size`` rows of smallest score dominates; ``near`` holds those, maybe with others."""
+    scored = (near or source).rows.withColumn("__sky_score", source.score())
+    first = scored.orderBy("__sky_score", *source.xs).limit(size).select(*source.xs)
+    frontier = materialise(first).rows
+    strongest = materialise(survivors(frontier, source.xs, frontier)).rows
+    return survivors(source.rows, source.xs, strongest)
 
 
 def _bnl(source: Input, window: int = 200_000) -> Tuples:

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pareto_frame import skyline
+from pareto_frame import seeded_skyline, skyline
 from pareto_frame.operators import boxes, lattice
 from pareto_frame.session import materialise
 from tests.brute import skyline as brute
@@ -81,15 +81,66 @@ def test_the_order_lists_dominators_first(spark):
                 assert low.z <= high.z
 
 
-def test_covered_in_order(monkeypatch):
+@pytest.mark.parametrize("strict", [False, True])
+def test_covered_in_order(monkeypatch, strict):
     monkeypatch.setattr(boxes, "PANEL", 32)
-    monkeypatch.setattr(boxes, "LEAF", 16)
+    monkeypatch.setattr(boxes, "LEAF", 8)
+    monkeypatch.setattr(boxes, "FAN", 3)
     rng = np.random.default_rng(7)
-    p, q = rng.integers(0, 60, (4, 333)), rng.integers(20, 60, (4, 217))
-    expected = (q[:, None, :] <= p[:, :, None]).all(0).any(1)
-    assert (boxes.covered_in_order(p, q) == expected).all()
-    assert not boxes.covered_in_order(p, q[:, :0]).any()
-    assert boxes.covered_in_order(p[:, :0], q).shape == (0,)
+    p, q = rng.integers(0, 30, (4, 333)), rng.integers(10, 30, (4, 217))
+    q = np.concatenate([q, p[:, :50]], axis=1)
+    expected = (q[:, None, :] <= p[:, :, None]).all(0)
+    if strict:
+        expected &= (q[:, None, :] != p[:, :, None]).any(0)
+    tree = boxes.PackedBoxes(q)
+    assert len(tree.levels) == 4
+    assert (boxes.covered_in_order(p, tree, strict) == expected.any(1)).all()
+    assert not boxes.covered_in_order(p, boxes.PackedBoxes(q[:, :0]), strict).any()
+    assert boxes.covered_in_order(p[:, :0], tree, strict).shape == (0,)
+
+
+def test_leaves_are_those_that_reach(monkeypatch):
+    monkeypatch.setattr(boxes, "LEAF", 4)
+    monkeypatch.setattr(boxes, "FAN", 3)
+    points = np.sort(np.random.default_rng(2).integers(0, 99, (3, 301)), axis=1)
+    tree = boxes.PackedBoxes(points)
+    for upper in ([50, 50, 50], [0, 99, 99], [99, 99, 99], [-1, 5, 5]):
+        expected = [i for i in range(76) if (tree.leaf(i).min(1) <= upper).all()]
+        assert tree.reaching(np.array(upper)).tolist() == expected
+
+
+@pytest.mark.parametrize("share", [boxes.SHARE_BYTES, 4_000])
+def test_filter_by_many_points(spark, monkeypatch, share):
+    """In one share or in several; equal rows stay; other columns go along."""
+    monkeypatch.setattr(boxes, "SHARE_BYTES", share)
+    rng = np.random.default_rng(6)
+    rivals = sorted({tuple(map(float, p)) for p in anti(rng, 500, 3)})
+    points = [tuple(map(float, p)) for p in anti(rng, 300, 3) + 0.01 * rng.random((300, 1))] + rivals[:20] + [(NAN, 0.0, 0.0)]
+    df = spark.createDataFrame([(*p, f"row {i}") for i, p in enumerate(points)], "a double, b double, c double, text string")
+    found = boxes.not_dominated_by(df, ["a", "b", "c"], materialise(spark.createDataFrame(rivals, ["x", "y", "z"]).toDF("a", "b", "c")))
+    q = np.array(rivals)
+    stays = {i for i, p in enumerate(points) if not ((q <= p).all(1) & (q < p).any(1)).any()}
+    # NaN is greater than every number
+    assert {int(r.text.split()[1]) for r in found.collect()} - {320} == stays - {320}
+
+
+@pytest.mark.parametrize("strategy", ["radius_angular", "representatives", "seeded"])
+def test_filters_without_broadcast(spark, strategy):
+    rng = np.random.default_rng(8)
+    points = sorted({tuple(map(float, p)) for p in anti(rng, 500, 3)})
+    df = spark.createDataFrame(points, ["a", "b", "c"])
+    given = [tuple(map(float, p)) for p in anti(rng, 200, 3)]
+    seeds = spark.createDataFrame(given, ["a", "b", "c"])
+    if strategy == "radius_angular":
+        assert tuples(skyline(df, strategy=strategy, broadcast_rows=0)) == brute(points)
+    elif strategy == "representatives":
+        q = np.array(given)
+        left = [p for p in points if not ((q <= p).all(1) & (q < p).any(1)).any()]
+        assert tuples(skyline(df, strategy=strategy, given=seeds, broadcast_rows=0)) == brute(left)
+    else:
+        found = seeded_skyline(df, ["a", "b", "c"], seeds, broadcast_rows=0)
+        best = set(brute(points + given)) - set(given)
+        assert tuples(found) == sorted([*given, *best])
 
 
 @pytest.mark.parametrize("slices", [2, 5])
