@@ -93,7 +93,7 @@ def super_boxes(
     order = [*keys, ORDER, *dims]
     laid = placed.repartitionByRange(n, *order).sortWithinPartitions(*order)
     kept = local_skyline(laid, dims, keys, presorted=not keys, by_key=bool(keys))
-    return materialise(with_order(kept.withColumn(BOX, F.spark_partition_id())))
+    return materialise(with_order(kept.withColumn(BOX, F.spark_partition_id())), phase="super-boxes")
 
 
 def box_merge(

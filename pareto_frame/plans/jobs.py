@@ -3,19 +3,23 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
 from functools import reduce
+from itertools import product
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from pareto_frame.functions.dominance import every
 from pareto_frame.functions.geometry import cell_id, grid_coordinates
 from pareto_frame.operators.aggregates import best_representatives
+from pareto_frame.operators.cleaning import normalise
 from pareto_frame.operators.joins import BROADCAST_ROWS, survivors
 from pareto_frame.plans.grouped import skyline_by
 from pareto_frame.plans.skyline import STRATEGIES, Input, resolve_dims, skyline
-from pareto_frame.session import default_partitions, materialise
+from pareto_frame.session import default_partitions, materialise, recorded_phases, scratch_path
 
 
 def phase_counts(
@@ -49,6 +53,88 @@ def phase_counts(
     )
 
 
+def skyline_with_phases(
+    df: DataFrame, dims: Sequence[str | Column], strategy: str = "auto", **settings
+) -> tuple[DataFrame, DataFrame]:
+    """What ``skyline`` returns, stored, and the exact sizes of the phases of that very run.
+
+    Phases: step, phase, n_rows. The first is the input (complete rows, counted as they are read), the last the
+    result; those between are what the strategy stored on its way, in order. ``merge candidates`` are the
+    rows of the last of them.
+    """
+    _, exprs = resolve_dims(df, dims)
+    complete = every([e.isNotNull() for e in exprs])
+    read = Observation()
+    watched = df.observe(read, F.count_if(complete).alias("n"))
+    with recorded_phases() as phases:
+        found = materialise(skyline(watched, dims, strategy, **settings), phase="skyline")
+    steps = [(i, name, n) for i, (name, n) in enumerate([("input", int(read.get["n"])), *phases])]
+    return found.rows, df.sparkSession.createDataFrame(steps, "step int, phase string, n_rows bigint")
+
+
+@dataclass(frozen=True)
+class Case:
+    """One cell of a grid of experiments; ``scaling``: none, shared or half_open min-max scaling."""
+
+    kind: str
+    n: int
+    dims: int
+    strategy: str
+    scaling: str = "none"
+
+    @property
+    def name(self) -> str:
+        return f"{self.kind}-{self.n}-{self.dims}-{self.strategy}-{self.scaling}"
+
+
+def grid_of(kinds, sizes, dims, strategies, scalings=("none",)) -> list[Case]:
+    return [Case(*cell) for cell in product(kinds, sizes, dims, strategies, scalings)]
+
+
+RESULT = (
+    "kind string, n bigint, dims int, strategy string, scaling string, n_input bigint, candidates bigint,"
+    " size bigint, seconds double"
+)
+
+
+def run_grid(
+    spark: SparkSession, cases: Sequence[Case], points: Callable[[Case], DataFrame], folder: str | None = None
+) -> DataFrame:
+    """Every case of a grid, one row each: rows read, candidates of the final merge, skyline tuples, time.
+
+    ``points`` gives the input of a case; its columns x0, x1, ... are the dimensions. Each result is written below
+    ``folder`` at once, and a case that is found there is not run again, so a grid that was
+    broken off goes on where it ended.
+    """
+    folder = (folder or scratch_path(spark, "grid")).rstrip("/")
+    for case in cases:
+        path = f"{folder}/{case.name}"
+        if not _exists(spark, path):
+            _run_case(spark, case, points).write.mode("overwrite").parquet(path)
+    return spark.read.schema(RESULT).parquet(*[f"{folder}/{c.name}" for c in cases])
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    """Whether a complete result is there."""
+    try:
+        return spark.read.schema(RESULT).parquet(path).count() > 0
+    except AnalysisException:
+        return False
+
+
+def _run_case(spark: SparkSession, case: Case, points: Callable[[Case], DataFrame]) -> DataFrame:
+    xs = [f"x{i}" for i in range(case.dims)]
+    rows = points(case).select(*xs)
+    begin = time.perf_counter()
+    if case.scaling != "none":
+        rows = normalise(rows, xs, half_open=case.scaling == "half_open")
+    _, phases = skyline_with_phases(rows, xs, case.strategy, ties="distinct")
+    n_rows = [r["n_rows"] for r in phases.orderBy("step").toArrow().to_pylist()]
+    taken = time.perf_counter() - begin
+    line = (case.kind, case.n, case.dims, case.strategy, case.scaling, n_rows[0], n_rows[-2], n_rows[-1], taken)
+    return spark.createDataFrame([line], RESULT)
+
+
 def sweep_sizes(
     inputs: Mapping[str, DataFrame],
     dims: Sequence[str | Column],

@@ -244,7 +244,8 @@ def _distinct(source: Input, rows: DataFrame) -> DataFrame:
 
 def _from_ranges(source: Input, first: Phase) -> Tuples:
     ranges = partitioning.by_first_dimension(first.rows, source.xs, source.partitions)
-    return _merged(source, materialise(local_skyline(ranges, source.xs, presorted=True)))
+    local = local_skyline(ranges, source.xs, presorted=True)
+    return _merged(source, materialise(local, phase="local skylines"))
 
 
 def _keyed_candidates(
@@ -258,7 +259,7 @@ def _keyed_candidates(
     scaled = [u.alias(n) for u, n in zip(unit, names, strict=True)]
     placed = source.rows.select(*source.xs, *scaled)
     laid = partitioning.by_key(placed, key(columns(names)), source.xs, source.partitions)
-    return materialise(local_skyline(laid, source.xs))
+    return materialise(local_skyline(laid, source.xs), phase="local skylines")
 
 
 def _minimum(source: Input) -> Tuples:
@@ -272,7 +273,7 @@ def _minimum(source: Input) -> Tuples:
 
 def _auto(source: Input) -> Tuples:
     """Local pass where the data lies; a second one on ranges if many tuples are left."""
-    first = materialise(_distinct(source, _combined(source)))
+    first = materialise(_distinct(source, _combined(source)), phase="first pass")
     return _merged(source, first) if first.count <= FEW_ROWS else _from_ranges(source, first)
 
 
@@ -298,7 +299,7 @@ def _sql(source: Input) -> Tuples:
         rows = minimal_partners(rows, [source.xs[i] for i in by_values]).select(*source.xs)
     else:
         rows = rows.distinct()
-    left = materialise(rows)
+    left = materialise(rows, phase="filtered")
     while filtered and left.count > LARGER_FRONTIER:
         size = left.count
         score = known.score()
@@ -306,7 +307,8 @@ def _sql(source: Input) -> Tuples:
         share = min(1.0, 2 * LARGER_FRONTIER / size)
         enough = left.rows.agg(F.percentile_approx(score, share, 10_000)).first()[0]
         near = replace(known, rows=left.rows.filter(score <= F.lit(enough)))
-        left = materialise(_below_no_frontier(replace(known, rows=left.rows), LARGER_FRONTIER, near))
+        rows = _below_no_frontier(replace(known, rows=left.rows), LARGER_FRONTIER, near)
+        left = materialise(rows, phase="filtered")
         if left.count > WORTHWHILE * size:
             break
     return _merged(source, left, native=True)
@@ -316,7 +318,7 @@ def _below_no_frontier(source: Input, size: int, near: Input | None = None) -> D
     """Rows that none of the ``size`` rows of smallest score dominates; ``near`` holds those, maybe with others."""
     scored = (near or source).rows.withColumn("__sky_score", source.score())
     first = scored.orderBy("__sky_score", *source.xs).limit(size).select(*source.xs)
-    frontier = materialise(first).rows
+    frontier = materialise(first, phase="frontier").rows
     strongest = materialise(survivors(frontier, source.xs, frontier)).rows
     return survivors(source.rows, source.xs, strongest)
 
@@ -332,7 +334,7 @@ def _bnl(source: Input, window: int = 200_000) -> Tuples:
     laid = partitioning.spread(_combined(source), source.xs, source.partitions)
     settled, n = [], 0
     while True:
-        phase = materialise(window_pass(laid, source.xs, window), marked=OVER)
+        phase = materialise(window_pass(laid, source.xs, window), marked=OVER, phase="window")
         settled.append(phase.rows.filter(~F.col(OVER)).drop(OVER))
         n += phase.count - phase.marked
         if not phase.marked:
@@ -344,26 +346,28 @@ def _bnl(source: Input, window: int = 200_000) -> Tuples:
 
 def _sfs(source: Input) -> Tuples:
     """Pass sorted by a monotone score, on what a first pass leaves of the partitions."""
-    first = source.having(materialise(_distinct(source, _combined(source))).rows)
+    first = source.having(materialise(_distinct(source, _combined(source)), phase="first pass").rows)
     ordered = first.rows.sortWithinPartitions(first.score(), *source.xs)
-    return _merged(source, materialise(local_skyline(ordered, source.xs, presorted=True)))
+    local = local_skyline(ordered, source.xs, presorted=True)
+    return _merged(source, materialise(local, phase="local skylines"))
 
 
 def _sfs_range(source: Input) -> Tuples:
     """Sorted pass on ranges of the first dimension."""
-    return _from_ranges(source, materialise(_distinct(source, _combined(source))))
+    return _from_ranges(source, materialise(_distinct(source, _combined(source)), phase="first pass"))
 
 
 def _sfs_random(source: Input) -> Tuples:
     """Sorted pass on balanced partitions."""
     laid = partitioning.spread(_combined(source), source.xs, source.partitions)
     ordered = laid.sortWithinPartitions(*source.xs)
-    return _merged(source, materialise(local_skyline(ordered, source.xs, presorted=True)))
+    local = local_skyline(ordered, source.xs, presorted=True)
+    return _merged(source, materialise(local, phase="local skylines"))
 
 
 def _angular(source: Input, slices: int = 32) -> Tuples:
     """Partitions by angle; tuples that compete lie in the same direction."""
-    first = source.having(materialise(_distinct(source, _combined(source))).rows)
+    first = source.having(materialise(_distinct(source, _combined(source)), phase="first pass").rows)
     key = partial(_angle_key, slices=slices)
     return _merged(source, _keyed_candidates(first, first.unit(half_open=True), key))
 
@@ -379,15 +383,15 @@ def _radius_angular(source: Input, radius: float = 0.5, slices: int = 32) -> Tup
     Scaled coordinates are not negative, so a dominator is never farther out:
     the skyline of the ball is final.
     """
-    first = source.having(materialise(_distinct(source, _combined(source))).rows)
+    first = source.having(materialise(_distinct(source, _combined(source)), phase="first pass").rows)
     unit = first.unit()
     distance = squared_norm(unit)
     inside = first.rows.filter(distance <= F.lit(radius * radius))
     outside = first.rows.filter(distance > F.lit(radius * radius))
 
     ranges = partitioning.by_first_dimension(inside, source.xs, source.partitions)
-    core = materialise(local_skyline(ranges, source.xs, presorted=True))
-    seed = materialise(global_skyline(core, source.xs, limit=source.limit))
+    core = materialise(local_skyline(ranges, source.xs, presorted=True), phase="inner local skylines")
+    seed = materialise(global_skyline(core, source.xs, limit=source.limit), phase="inner skyline")
     outside = survivors_of_many(outside, source.xs, seed, source.limit)
     outside = _combined(replace(source, rows=outside))
     outer = _keyed_candidates(first.having(outside), unit, partial(_angle_key, slices=slices))
@@ -399,11 +403,12 @@ def _grid_filter(
     source: Input, slices: int = 32, keep_going: float = 0.8, rounds: int = 4
 ) -> Tuples:
     """Drop rows in dominated cells, again on a finer scale while that pays."""
-    first = materialise(_distinct(source, _combined(source)))
+    first = materialise(_distinct(source, _combined(source)), phase="first pass")
     for _ in range(rounds):
         size = first.count
         current = replace(source, rows=first.rows, extent=None)
-        first = materialise(_combined(replace(source, rows=_in_surviving_cells(current, slices))))
+        kept = _combined(replace(source, rows=_in_surviving_cells(current, slices)))
+        first = materialise(kept, phase="in surviving cells")
         if first.count > keep_going * size:
             break
     return _from_ranges(source, first)
@@ -414,7 +419,7 @@ def _in_surviving_cells(source: Input, slices: int) -> DataFrame:
     coordinates = grid_coordinates(source.unit(half_open=True), slices)
     placed = [c.alias(n) for c, n in zip(coordinates, names, strict=True)]
     occupied = occupied_cells(source.rows.select(*placed), names)
-    alive = materialise(surviving_cells(occupied, names, source.limit))
+    alive = materialise(surviving_cells(occupied, names, source.limit), phase="surviving cells")
     # one key: Spark would derive combinations of many equalities between expressions
     cells = alive.rows.select(F.array(*columns(names)).alias("__sky_cell"))
     cells = F.broadcast(cells) if alive.count <= BROADCAST_CELLS else cells
@@ -424,7 +429,7 @@ def _in_surviving_cells(source: Input, slices: int) -> DataFrame:
 def _representative_filter(source: Input, per_dim: int) -> DataFrame:
     points = best_representatives(source.rows, source.xs, source.unit(), per_dim)
     # at most dims * per_dim points
-    strongest = materialise(points.select(*source.xs).distinct()).rows
+    strongest = materialise(points.select(*source.xs).distinct(), phase="representatives").rows
     return survivors(source.rows, source.xs, survivors(strongest, source.xs, strongest))
 
 
@@ -434,21 +439,22 @@ def _representatives(source: Input, per_dim: int = 10) -> Tuples:
     The option ``given`` supplies the points instead, in the order of the dimensions; see
     ``find_tuples``.
     """
-    first = source.having(materialise(_distinct(source, _combined(source))).rows)
-    return _from_ranges(source, materialise(_representative_filter(first, per_dim)))
+    first = source.having(materialise(_distinct(source, _combined(source)), phase="first pass").rows)
+    return _from_ranges(source, materialise(_representative_filter(first, per_dim), phase="filtered"))
 
 
 def _three_phase(source: Input, per_dim: int = 10) -> Tuples:
     """Filtered by representatives, sorted slices, with a parallel merge."""
-    first = source.having(materialise(_distinct(source, _combined(source))).rows)
+    first = source.having(materialise(_distinct(source, _combined(source)), phase="first pass").rows)
     kept = _representative_filter(first, per_dim)
     ranges = partitioning.by_first_dimension(kept, source.xs, source.partitions)
-    return _merged(source, materialise(local_skyline(ranges, source.xs, presorted=True)))
+    local = local_skyline(ranges, source.xs, presorted=True)
+    return _merged(source, materialise(local, phase="local skylines"))
 
 
 def _grid(source: Input, slices: int = 2) -> Tuples:
     """Partitions by grid cell; the key is the array of all coordinates."""
-    first = source.having(materialise(_distinct(source, _combined(source))).rows)
+    first = source.having(materialise(_distinct(source, _combined(source)), phase="first pass").rows)
     def key(unit: list[Column]) -> Column:
         return F.array(*grid_coordinates(unit, slices))
 
@@ -461,7 +467,7 @@ def _grid_parallel(source: Input, slices: int = 2) -> Tuples:
     Of more candidates than are broadcast, those that the summary of the cells below rules out are
     final; the others meet candidates by super-boxes.
     """
-    first = source.having(materialise(_distinct(source, _combined(source))).rows)
+    first = source.having(materialise(_distinct(source, _combined(source)), phase="first pass").rows)
     alive = _combined(replace(source, rows=_in_surviving_cells(first, slices)))
     names = [f"__sky_c{i}" for i in range(len(source.xs))]
     coordinates = grid_coordinates(first.unit(half_open=True), slices)
@@ -472,7 +478,8 @@ def _grid_parallel(source: Input, slices: int = 2) -> Tuples:
     laid = partitioning.by_key(placed, cell, source.xs, source.partitions)
     # the coordinates are keys of the local pass: cells do not compete there
     laid = laid.sortWithinPartitions(*names)
-    candidates = materialise(local_skyline(laid, source.xs, keys=names, by_key=True))
+    local = local_skyline(laid, source.xs, keys=names, by_key=True)
+    candidates = materialise(local, phase="local skylines")
     if candidates.count <= source.limit:
         merged = global_skyline(candidates, source.xs, limit=source.limit)
         return Tuples(merged.select(*source.xs), candidates.count)

@@ -11,6 +11,7 @@ import tempfile
 import threading
 import uuid
 from contextlib import contextmanager
+from contextvars import ContextVar
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -86,11 +87,32 @@ class Phase:
     marked: int = 0
 
 
-def materialise(df: DataFrame, marked: str | None = None) -> Phase:
-    """Checkpoint ``df`` and count it, and the rows where column ``marked`` is true, in the same job."""
+_PHASES: ContextVar[list | None] = ContextVar("phases", default=None)
+
+
+@contextmanager
+def recorded_phases():
+    """The names and exact sizes of the phases that are stored within the block, in order."""
+    found: list[tuple[str, int]] = []
+    token = _PHASES.set(found)
+    try:
+        yield found
+    finally:
+        _PHASES.reset(token)
+
+
+def materialise(df: DataFrame, marked: str | None = None, phase: str | None = None) -> Phase:
+    """Checkpoint ``df`` and count it, and the rows where column ``marked`` is true, in the same job.
+
+    A named ``phase`` goes into the record of ``recorded_phases``, less the marked rows.
+    """
     shared_folder(df.sparkSession)
     seen = Observation()
     true = F.col(marked) if marked else F.lit(False)
     counts = [F.count(F.lit(1)).alias("n"), F.count_if(true).alias("marked")]
     kept = df.observe(seen, *counts).checkpoint()
-    return Phase(kept, int(seen.get["n"]), int(seen.get["marked"]))
+    found = Phase(kept, int(seen.get["n"]), int(seen.get["marked"]))
+    record = _PHASES.get()
+    if phase and record is not None:
+        record.append((phase, found.count - found.marked))
+    return found

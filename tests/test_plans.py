@@ -41,13 +41,33 @@ def test_local_pass_reads_only_dimensions(stored):
 def test_sql_strategy_has_no_python(spark, stored, monkeypatch):
     seen = []
     record = plans.materialise
-    monkeypatch.setattr(plans, "materialise", lambda df: (seen.append(plan_of(df)), record(df))[1])
+    keep = lambda df, **named: (seen.append(plan_of(df)), record(df, **named))[1]
+    monkeypatch.setattr(plans, "materialise", keep)
     seen.append(plan_of(skyline(stored, ["a", "b"], "sql")))
     assert len(seen) == 2
     assert not any("Python" in plan or "Arrow" in plan for plan in seen)
     assert "LeftAnti" in seen[-1] and "BroadcastNestedLoopJoin" in seen[-1]
 
 
+def test_sql_frontiers_have_no_python(spark, stored, monkeypatch):
+    """Many rows of continuous values: frontiers, no grouping, and more candidates than are broadcast."""
+    seen = []
+    record = plans.materialise
+    keep = lambda df, **named: (seen.append(plan_of(df)), record(df, **named))[1]
+    monkeypatch.setattr(plans, "materialise", keep)
+    for name, size in (("FEW_ROWS", 100), ("FRONTIER_ROWS", 20), ("LARGER_FRONTIER", 50)):
+        monkeypatch.setattr(plans, name, size)
+    x = F.col("id").cast("double")
+    rows = stored.select(x.alias("d31"), (2000 - x + x * 37 % 400).alias("d57"), (x * 71 % 1999).alias("d71"))
+    best = skyline(rows, strategy="sql", broadcast_rows=30)
+    seen.append(plan_of(best))
+    # two tables for each frontier, and what it leaves
+    assert len(seen) >= 7
+    assert not any("Python" in plan or "Arrow" in plan for plan in seen)
+    assert not any("Aggregate" in plan and "min(d71)" in plan for plan in seen)
+    assert sorted(map(tuple, best.collect())) == sorted(map(tuple, skyline(rows).collect()))
+
+
 def test_rows_return_by_broadcast_semi_join(stored):
     plan = plan_of(skyline(stored, ["a", "b"]))
     assert "BroadcastHashJoin LeftSemi" in plan
