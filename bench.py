@@ -35,6 +35,7 @@ POINT_SETS = {
     "independent_5d_1e5": ("independent", 10**5, 5, 10.0),
     "independent_6d_1e5": ("independent", 10**5, 6, 10.0),
     "correlated_4d_1e6": ("correlated", 10**6, 4, 10.0),
+    "anti_6d_1e6": ("anti_correlated", 10**6, 6, 100.0),
 }
 
 
@@ -101,6 +102,13 @@ def main() -> None:
     run("anti_4d_1e5_sql", lambda: skyline(df, df.columns[1:], "sql"))
     # more candidates than are broadcast: the merge by blocks
     run("anti_4d_1e5_blocks", lambda: skyline(df, df.columns[1:], broadcast_rows=2_000))
+    wide = points["anti_6d_1e6"]
+    run("anti_6d_1e6_window", lambda: skyline(wide, wide.columns[1:], "bnl", window=20_000))
+    seeds, rows = points["anti_4d_1e5"], points["anti_4d_1e6"]
+    run(
+        "anti_4d_1e6_given_1e5",
+        lambda: skyline(rows, rows.columns[1:], "representatives", given=seeds.select(*rows.columns[1:]), broadcast_rows=0),
+    )
     print(
         json.dumps(
             {

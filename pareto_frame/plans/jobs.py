@@ -8,7 +8,6 @@ from dataclasses import dataclass
 from functools import reduce
 from itertools import product
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,14 +61,21 @@ def skyline_with_phases(
     result; those between are what the strategy stored on its way, in order. ``merge candidates`` are the
     rows of the last of them.
     """
+    rows, phases = _observed(df, dims, strategy, **settings)
+    steps = [(i, name, n) for i, (name, n) in enumerate(phases)]
+    return rows, df.sparkSession.createDataFrame(steps, "step int, phase string, n_rows bigint")
+
+
+def _observed(
+    df: DataFrame, dims: Sequence[str | Column], strategy: str, **settings
+) -> tuple[DataFrame, list[tuple[str, int]]]:
     _, exprs = resolve_dims(df, dims)
     complete = every([e.isNotNull() for e in exprs])
     read = Observation()
     watched = df.observe(read, F.count_if(complete).alias("n"))
     with recorded_phases() as phases:
         found = materialise(skyline(watched, dims, strategy, **settings), phase="skyline")
-    steps = [(i, name, n) for i, (name, n) in enumerate([("input", int(read.get["n"])), *phases])]
-    return found.rows, df.sparkSession.createDataFrame(steps, "step int, phase string, n_rows bigint")
+    return found.rows, [("input", int(read.get["n"])), *phases]
 
 
 @dataclass(frozen=True)
@@ -116,23 +122,23 @@ def run_grid(
 
 def _exists(spark: SparkSession, path: str) -> bool:
     """Whether a complete result is there."""
-    try:
-        return spark.read.schema(RESULT).parquet(path).count() > 0
-    except AnalysisException:
-        return False
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done)
 
 
 def _run_case(spark: SparkSession, case: Case, points: Callable[[Case], DataFrame]) -> DataFrame:
     xs = [f"x{i}" for i in range(case.dims)]
-    rows = points(case).select(*xs)
+    # drawing the points is not part of what is timed
+    rows = materialise(points(case).select(*xs)).rows
     begin = time.perf_counter()
     if case.scaling != "none":
         rows = normalise(rows, xs, half_open=case.scaling == "half_open")
-    _, phases = skyline_with_phases(rows, xs, case.strategy, ties="distinct")
-    n_rows = [r["n_rows"] for r in phases.orderBy("step").toArrow().to_pylist()]
+    _, phases = _observed(rows, xs, case.strategy, ties="distinct")
     taken = time.perf_counter() - begin
-    line = (case.kind, case.n, case.dims, case.strategy, case.scaling, n_rows[0], n_rows[-2], n_rows[-1], taken)
-    return spark.createDataFrame([line], RESULT)
+    n_rows = [n for _, n in phases]
+    line = [case.kind, case.n, case.dims, case.strategy, case.scaling, n_rows[0], n_rows[-2], n_rows[-1], taken]
+    fields = [field.split() for field in RESULT.split(",")]
+    return spark.range(1).select(*[F.lit(v).cast(t).alias(c) for v, (c, t) in zip(line, fields, strict=True)])
 
 
 def sweep_sizes(
