@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from functools import partial
+from functools import partial, reduce
+from operator import and_
 
 from pyspark.sql import functions as F
 
@@ -22,7 +23,8 @@ from catalogue.skylines import (
 from pareto_frame import grid_of, run_grid, seeded_skyline, skyline, skyline_by, skyline_with_phases
 from pareto_frame.operators.boxes import box_merge
 from pareto_frame.operators.joins import survivors_of_many
-from pareto_frame.session import materialise
+from pareto_frame.session import materialise, scratch_path
+from pareto_frame.sources.clustered import write_clustered
 from pareto_frame.sources.generate import with_points
 
 # merges by super-boxes
@@ -157,6 +159,35 @@ def given_at_size(spark, folder):
     return skyline(rows, _MIXED, "representatives", given=given, broadcast_rows=0)
 
 
+# tables stored by cell
+
+
+def _clustered(spark, folder):
+    rows = line(spark, folder)
+    return write_clustered(rows, line_dims(), scratch_path(spark, "clustered"), file_rows=2_000)
+
+
+@register("G3_clustered_skyline", LINE_ROWS)
+def clustered_skyline(spark, folder):
+    """Files that a champion of another file rules out are not read."""
+    return _clustered(spark, folder).skyline(line_dims())
+
+
+@register(
+    "F4_zone_map",
+    """
+    SELECT count(*) AS n_rows, min(l_extendedprice) AS low0, min(-l_quantity) AS low1, min(-l_discount) AS low2,
+      min(l_tax) AS low3, true AS corners FROM lineitem
+    """,
+)
+def zone_map(spark, folder):
+    """The zone map covers every row, and no champion lies below its file's lower corner."""
+    zones = _clustered(spark, folder).zones
+    lows = [F.min(f"low{i}").alias(f"low{i}") for i in range(4)]
+    above = [F.col(f"low{i}") <= F.col(f"best{i}") for i in range(4)]
+    return zones.agg(F.sum("n_rows").alias("n_rows"), *lows, F.every(reduce(and_, above)).alias("corners"))
+
+
 # phases and experiments
 
 

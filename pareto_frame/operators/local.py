@@ -16,6 +16,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -188,7 +189,7 @@ def _keep_per_group(
         if kept is not None:
             table = pa.concat_tables([kept, table]).combine_chunks()
         order = [_total_order(c) for c in table.columns[n_keys:]]
-        codes = _GroupCodes().of(table.columns[:n_keys])
+        codes = _group_codes(table.columns[:n_keys])
         rows = _dominators_first(table.columns[n_keys:], order, codes, scale)
         rows = rows[_sweep_groups([o[rows] for o in order], codes[rows])]
         if by_key:
@@ -352,39 +353,22 @@ def _sweep_groups(order: Sequence[np.ndarray], codes: np.ndarray) -> np.ndarray:
     return np.concatenate(kept) if kept else np.empty(0, dtype=np.int64)
 
 
-class _GroupCodes:
-    """Small integers for the key values met in one partition."""
-
-    def __init__(self) -> None:
-        self._known: dict[tuple, int] = {}
-
-    def of(self, columns: Sequence[pa.ChunkedArray]) -> np.ndarray:
-        combined = np.zeros(len(columns[0]), dtype=np.int64)
-        values = []
-        for column in columns:
-            coded = column.combine_chunks()
-            if isinstance(coded, pa.ChunkedArray):
-                coded = coded.chunk(0)
-            coded = coded.dictionary_encode(null_encoding="encode")
-            values.append(coded.dictionary.to_pylist())
-            index = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-            combined = combined * len(values[-1]) + index
-            if len(values) > 1:
-                # keep the running code small, so that it cannot overflow
-                unique, combined = np.unique(combined, return_inverse=True)
-                base = len(values[-1])
-                values = [
-                    [
-                        (*_as_tuple(values[0][u // base]), values[1][u % base])
-                        for u in unique.tolist()
-                    ]
-                ]
-        codes = np.array(
-            [self._known.setdefault(_as_tuple(v), len(self._known)) for v in values[0]],
-            dtype=np.int64,
-        )
-        return codes[combined]
-
-
-def _as_tuple(value) -> tuple:
-    return value if isinstance(value, tuple) else (value,)
+def _group_codes(columns: Sequence[pa.ChunkedArray]) -> np.ndarray:
+    """Small integers that are equal where all key values are; null equals null, -0.0 equals 0.0.
+
+    No key value becomes a Python object, so the number of groups costs nothing but the sort of the codes.
+    """
+    codes = np.zeros(len(columns[0]), dtype=np.int64)
+    for column in columns:
+        if pa.types.is_floating(column.type):
+            column = pc.add(column, pa.scalar(0.0, column.type))
+        coded = column.combine_chunks()
+        if isinstance(coded, pa.ChunkedArray):
+            coded = coded.chunk(0)
+        coded = coded.dictionary_encode(null_encoding="encode")
+        index = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        codes = codes * max(1, len(coded.dictionary)) + index
+        if len(columns) > 1:
+            # keep the running code small, so that it cannot overflow
+            codes = np.unique(codes, return_inverse=True)[1].astype(np.int64)
+    return codes

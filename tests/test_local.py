@@ -112,3 +112,16 @@ def test_many_groups_and_one_large_group():
     for key in np.unique(keys):
         expected |= {(int(key), *p) for p in skyline([tuple(map(int, r)) for r in xy[keys == key]])}
     assert found == expected
+
+
+def test_group_codes():
+    """Equal codes for equal keys, in any number of columns, with nulls, NaN and both zeros."""
+    rng = np.random.default_rng(12)
+    texts = [None if x == 0 else f"k{x}" for x in rng.integers(0, 6, 500)]
+    numbers = [[None, -0.0, 0.0, float("nan"), 2.5][x] for x in rng.integers(0, 5, 500)]
+    days = [int(x) for x in rng.integers(0, 3, 500)]
+    columns = [pa.chunked_array([pa.array(c)]) for c in (texts, numbers, days)]
+    for used in ([0], [1], [0, 1], [0, 1, 2]):
+        codes = local._group_codes([columns[i] for i in used])
+        rows = [tuple("0" if (v := (texts, numbers, days)[i][r]) == 0 and i == 1 else str(v) for i in used) for r in range(500)]
+        assert len(set(codes.tolist())) == len(set(rows)) == len(set(zip(codes.tolist(), rows)))
