@@ -11,7 +11,8 @@ rows, behind ``k`` better ones of the same block.
 Scores are integer inner products of ``floor(scale * x)``.
 
 Defined cases: vectors that are null, hold null or non-finite components, or have a null
-id take no part; only vectors of equal length are compared; with fewer than ``k``
+id take no part, nor do those whose whole numbers have a squared length of 2^61 or more, since their
+scores need not fit a long (all others do, by Cauchy and Schwarz, and so does every partial sum); only vectors of equal length are compared; with fewer than ``k``
 candidates all are returned; rows that repeat an id are candidates each, except for the
 query of that id; an empty table gives an empty result; further columns are ignored.
 """
@@ -32,6 +33,8 @@ BINS = 256
 QUERY_BLOCK, BLOCK = 1024, 4096
 #: Whole numbers up to here are exact in double precision.
 EXACT = 2**53
+#: Squared lengths from here on make scores, and distances between scores, that a long cannot hold.
+LONGEST = 2.0**61
 
 
 def usable(vector: Column) -> Column:
@@ -43,12 +46,21 @@ def usable(vector: Column) -> Column:
 
 def whole_vectors(df: DataFrame, vec_id: str, vector: str, scale: int) -> DataFrame:
     doubles = F.col(vector).cast("array<double>")
-    return df.filter(F.col(vec_id).isNotNull() & usable(doubles)).select(
-        F.col(vec_id).cast("long").alias("id"),
-        F.transform(doubles, lambda x: F.floor(x * F.lit(float(scale))).cast("long")).alias("v"),
+    times = F.transform(doubles, lambda x: x * F.lit(float(scale)))
+    return (
+        df.filter(F.col(vec_id).isNotNull() & usable(doubles))
+        .select(F.col(vec_id).cast("long").alias("id"), times.alias("x"))
+        .filter(_squared("x") < F.lit(LONGEST))
+        .select("id", F.transform("x", lambda x: F.floor(x).cast("long")).alias("v"))
+        # rounding down may lengthen a vector
+        .filter(_squared("v") < F.lit(LONGEST))
     )
 
 
+def _squared(vector: str) -> Column:
+    return F.aggregate(vector, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
+
+
 def _pack(size: int, with_low: bool):
     """Rows (id, v[, low, above]) of one length to blocks of at most ``size``, in binary."""
 
@@ -158,10 +170,9 @@ def top_k(
     rows = whole_vectors(df, vec_id, vector, scale)
     queries = stored(whole_vectors(df.filter(is_query), vec_id, vector, scale), "topk-queries")
     # lengths and the largest norm bound every score
-    limit = rows.agg(
-        F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))).alias("m")
-    ).first()["m"]
-    reach = int(limit or 0) + 2
+    limit = rows.agg(F.max(_squared("v")).alias("m")).first()["m"]
+    # the bound is a sum of doubles
+    reach = int((limit or 0) * (1 + 1e-9)) + 2
     candidates = stored(
         rows.mapInArrow(_pack(BLOCK, False), block).withColumn("salt", F.monotonically_increasing_id()), "topk-blocks"
     )

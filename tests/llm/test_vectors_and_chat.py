@@ -128,6 +128,23 @@ def test_top_k(table, rows, k):
     assert {(r.query_id, r.rank, r.vec_id, r.score) for r in found.collect()} == expected
 
 
+def test_components_up_to_what_a_long_holds(spark):
+    """Scores near 2^61 are exact; vectors beyond take no part, whatever their size."""
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in rng.uniform(-1, 1, 3) * 1.3e7]) for i in range(40)]
+    rows += [(100, [1e18, 1.0, 0.0]), (101, [1e300, 0.0, 0.0]), (102, [-3e7, 0.0, 0.0]), (120, [1e30, 1.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    whole = {i: [math.floor(64 * x) for x in v] for i, v in rows}
+    whole = {i: v for i, v in whole.items() if sum(x * x for x in v) < 2**61}
+    assert sorted(whole) == list(range(40))
+    expected = set()
+    for q in (0, 20):
+        scored = sorted((-sum(x * y for x, y in zip(whole[q], v)), i) for i, v in whole.items() if i != q)
+        expected |= {(q, n + 1, i, -s) for n, (s, i) in enumerate(scored[:7])}
+    found = topk.top_k(df, F.col("vec_id") % 20 == 0, 7).collect()
+    assert {(r.query_id, r.rank, r.vec_id, r.score) for r in found} == expected
+
+
 def test_large_components_stay_exact(spark):
     rows = [(i, [float(2**24 + i), -3.0]) for i in range(45)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
