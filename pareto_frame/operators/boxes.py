@@ -311,8 +311,10 @@ def covered_in_order(p: np.ndarray, boxes: PackedBoxes, strict: bool = False) ->
 # A filter by many points
 
 
-def not_dominated_by(rows: DataFrame, dims: Sequence[str], rivals: Phase) -> DataFrame:
-    """Rows, with all their columns, that none of any number of ``rivals`` strictly dominates.
+def not_dominated_by(
+    rows: DataFrame, dims: Sequence[str], rivals: Phase, strict: bool = True
+) -> DataFrame:
+    """Rows, with all their columns, that none of any number of ``rivals`` dominates (or, not ``strict``, equals).
 
     Rivals are sent to the tasks as a packed tree, in shares of at most SHARE_BYTES; the rows left by
     one share are stored before the next one is sent, so one tree is alive at a time.
@@ -327,19 +329,21 @@ def not_dominated_by(rows: DataFrame, dims: Sequence[str], rivals: Phase) -> Dat
         if not table.num_rows:
             continue
         tree = context.broadcast(np.stack([_total_order(c) for c in table.columns]))
-        task = partial(_outside, tree=tree, dims=list(dims))
+        task = partial(_outside, tree=tree, dims=list(dims), strict=strict)
         rows = with_order(rows).mapInArrow(task, schema)
         if share < shares - 1:
             rows = materialise(rows).rows
     return rows
 
 
-def _outside(batches: Iterator[pa.RecordBatch], tree, dims: list[str]) -> Iterator[pa.RecordBatch]:
+def _outside(
+    batches: Iterator[pa.RecordBatch], tree, dims: list[str], strict: bool
+) -> Iterator[pa.RecordBatch]:
     boxes = PackedBoxes(tree.value)
     for table in _buffered(batches):
         near = np.argsort(table.column(ORDER).to_numpy(), kind="stable")
         table = table.drop_columns([ORDER])
         points = np.stack([_total_order(table.column(c)) for c in dims])[:, near]
-        stay = np.sort(near[~covered_in_order(points, boxes, strict=True)])
+        stay = np.sort(near[~covered_in_order(points, boxes, strict)])
         if stay.size:
             yield from table.take(pa.array(stay)).combine_chunks().to_batches()

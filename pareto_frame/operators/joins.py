@@ -12,6 +12,7 @@ from math import ceil
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pareto_frame.functions.dominance import (
     cell_totally_dominates,
@@ -20,13 +21,13 @@ from pareto_frame.functions.dominance import (
     weakly_dominates,
 )
 from pareto_frame.operators.boxes import not_dominated_by
+from pareto_frame.operators.frequent import SALT, frequent, repeated, salted
 from pareto_frame.operators.local import supports
-from pareto_frame.session import Phase, materialise
+from pareto_frame.session import Phase, default_partitions, materialise
 
 # Beyond this many candidates super-boxes are faster than everyone against all (measured in 4 to 6 dimensions).
 BROADCAST_ROWS = 40_000
 SEMI_BROADCAST_VALUES = 4_000_000
-SALTS = 16
 # However low the bound is set, shares of dominators are not smaller than this.
 SHARE_ROWS = 10_000
 
@@ -95,9 +96,14 @@ def surviving_cells(
 ) -> DataFrame:
     """Occupied cells that no other occupied cell totally dominates.
 
-    Cells meet the cells that matter as dominators in shares of at most ``limit`` or ``SHARE_ROWS``.
+    Up to ``limit`` cells that matter as dominators are shipped to every task; more are sent as a packed tree.
     """
     partners = materialise(minimal_partners(cells, coordinates))
+    if partners.count > limit and all(isinstance(cells.schema[c].dataType, T.IntegralType) for c in coordinates):
+        # smaller everywhere is the same as nowhere greater after one step up
+        stepped = [(F.col(c) + 1).cast(cells.schema[c].dataType).alias(c) for c in coordinates]
+        rivals = Phase(partners.rows.select(*stepped), partners.count)
+        return not_dominated_by(cells, coordinates, rivals, strict=False)
     condition = cell_totally_dominates(columns(rival_names(coordinates)), columns(coordinates))
     shares = max(1, ceil(partners.count / max(SHARE_ROWS, limit)))
     share = F.pmod(F.xxhash64(*coordinates), F.lit(shares))
@@ -119,8 +125,8 @@ def matching_rows(
     ``at_most`` bounds the number of tuples; without it they are counted. The input is read
     again to find its rows by value, so it has to give the same values each time.
 
-    Beyond the broadcast bound one value may still hold a large share of the
-    rows, so rows are salted by their scan partition and the tuples repeated.
+    Beyond the broadcast bound one tuple may still hold a large share of the rows, so a sketch finds the
+    frequent ones; their rows are salted, and only they are repeated on the other side.
     """
     bound = SEMI_BROADCAST_VALUES // len(names)
     if at_most is None or at_most > bound:
@@ -129,8 +135,7 @@ def matching_rows(
     same = every([e.eqNullSafe(F.col(n)) for e, n in zip(exprs, names, strict=True)])
     if at_most <= bound:
         return df.join(F.broadcast(tuples), same, "left_semi")
-    salt = F.pmod(F.spark_partition_id(), F.lit(SALTS))
-    copies = tuples.withColumn("__sky_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = df.withColumn("__sky_salt_of_row", salt)
-    same = same & (F.col("__sky_salt_of_row") == F.col("__sky_salt"))
-    return salted.join(copies, same, "left_semi").drop("__sky_salt_of_row")
+    hot = materialise(frequent(df, exprs, default_partitions(df))).rows
+    copies = repeated(tuples, names, hot).withColumnRenamed(SALT, "__sky_salt_of_tuple")
+    same = same & (F.col(SALT) == F.col("__sky_salt_of_tuple"))
+    return salted(df, exprs, hot).join(copies, same, "left_semi").drop(SALT)
