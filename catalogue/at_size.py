@@ -20,7 +20,16 @@ from catalogue.skylines import (
     line_dims,
     mixed,
 )
-from pareto_frame import grid_of, run_grid, seeded_skyline, skyline, skyline_by, skyline_with_phases
+from pareto_frame import (
+    STRATEGIES,
+    compare_strategies,
+    grid_of,
+    run_grid,
+    seeded_skyline,
+    skyline,
+    skyline_by,
+    skyline_with_phases,
+)
 from pareto_frame.operators.boxes import box_merge
 from pareto_frame.operators.joins import survivors_of_many
 from pareto_frame.session import materialise, scratch_path
@@ -212,6 +221,24 @@ for _strategy in ("sfs_range", "representatives", "three_phase"):
         f"(SELECT count(*) FROM ({_MIXED_SKY})) AS n_skyline, true AS stored_phases, true AS shrinking",
     )(partial(_phases, _strategy))
 
+_STRATEGY_NAMES = ", ".join(f"('{name}')" for name in STRATEGIES)
+
+
+@register(
+    "H16_cross_check_of_lineitem",
+    f"""
+    WITH best AS ({LINE_ROWS})
+    SELECT strategy, (SELECT count(*) FROM best) AS n_rows, 0::BIGINT AS missing, 0::BIGINT AS surplus
+    FROM (VALUES {_STRATEGY_NAMES}) s(strategy)
+    """,
+)
+def cross_check_lineitem(spark, folder):
+    """Every strategy over all of lineitem, with all ties, against the one without Python."""
+    rows = line(spark, folder)
+    n = skyline(rows, line_dims()).count()
+    return compare_strategies(rows, line_dims()).select("strategy", F.lit(n).cast("long").alias("n_rows"), "missing", "surplus")
+
+
 _SOURCES = [("supplier", "s_suppkey"), ("part", "p_partkey")]
 _KINDS = [("independent", 10.0), ("correlated", 10.0), ("anti_correlated", 100.0)]
 

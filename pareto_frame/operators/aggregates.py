@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from pareto_frame.functions.dominance import strictly_dominates, weakly_dominates
 from pareto_frame.functions.geometry import dominated_volume
+from pareto_frame.operators.frequent import SALT, frequent, repeated, salted
 from pareto_frame.operators.joins import BROADCAST_ROWS, SEMI_BROADCAST_VALUES
 from pareto_frame.operators.merge import global_skyline
-from pareto_frame.session import Phase, materialise
+from pareto_frame.session import Phase, default_partitions, materialise
 
 FOLD_ROWS = 500
 
@@ -63,11 +64,16 @@ def pack_cells(df: DataFrame, cell: str, dims: Sequence[str], chunk_rows: int =
     counted = df.groupBy(cell, *dims).agg(F.count(F.lit(1)).alias("copies"))
     sizes = counted.groupBy(cell).agg(F.count(F.lit(1)).alias("__sky_size"))
     large = materialise(sizes.filter(F.col("__sky_size") > chunk_rows))
-    sizes = F.broadcast(large.rows) if large.count <= SEMI_BROADCAST_VALUES // 2 else large.rows
+    if large.count <= SEMI_BROADCAST_VALUES // 2:
+        sized = counted.join(F.broadcast(large.rows), cell, "left")
+    else:
+        # a cell with many tuples is one key of this join, so it is split
+        hot = materialise(frequent(counted, [F.col(cell)], default_partitions(df))).rows
+        copies = repeated(large.rows, [cell], hot)
+        sized = salted(counted, [F.col(cell)], hot).join(copies, [cell, SALT], "left").drop(SALT)
     chunks = F.ceil(F.coalesce(F.col("__sky_size"), F.lit(1)) / F.lit(chunk_rows))
     return (
-        counted.join(sizes, cell, "left")
-        .withColumn("chunk", F.pmod(F.xxhash64(*dims), chunks))
+        sized.withColumn("chunk", F.pmod(F.xxhash64(*dims), chunks))
         .groupBy(cell, "chunk")
         .agg(F.collect_list(F.struct(*dims, "copies")).alias("points"))
     )

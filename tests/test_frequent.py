@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pareto_frame import skyline
-from pareto_frame.operators import joins
+from pareto_frame.operators import aggregates, joins
 from pareto_frame.operators.frequent import SALT, frequent, repeated, salted
 from pareto_frame.session import materialise
 
@@ -56,6 +56,21 @@ def test_rows_come_back_whole(spark, rows, monkeypatch):
     assert found == Counter(map(tuple, skyline(full, ["x", "k"], "sql").collect()))
 
 
+@pytest.mark.parametrize("bound", [0, 1_000_000])
+def test_packed_cells_with_a_hot_cell(spark, monkeypatch, bound):
+    """Sizes shipped or joined by shuffle: the same chunks of bounded size, with every tuple and copy."""
+    monkeypatch.setattr(aggregates, "SEMI_BROADCAST_VALUES", bound)
+    cell = F.when(F.col("id") % 10 < 8, F.lit(1)).otherwise(F.col("id") % 50)
+    df = spark.range(6000).select(cell.cast("int").alias("cell"), (F.col("id") % 3000).alias("a"), (F.col("id") * 7 % 3000).alias("b"))
+    packed = aggregates.pack_cells(df, "cell", ["a", "b"], chunk_rows=100)
+    rows = packed.select("cell", F.inline("points"))
+    expected = df.groupBy("cell", "a", "b").agg(F.count(F.lit(1)).alias("copies"))
+    assert Counter(map(tuple, rows.collect())) == Counter(map(tuple, expected.collect()))
+    assert packed.select(F.max(F.size("points"))).first()[0] < 200
+    chunks = {(r.cell, r.chunk) for r in packed.collect()}
+    assert len(chunks) == packed.count() and len([c for c in chunks if c[0] == 1]) >= 20
+
+
 @pytest.mark.parametrize("limit", [0, 100_000])
 def test_cells_by_the_packed_tree(spark, limit):
     cells = spark.range(3000).select(*[(F.xxhash64("id", F.lit(i)) % 9 + 8).cast("int").alias(f"c{i}") for i in range(3)]).distinct()
