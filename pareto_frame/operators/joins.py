@@ -28,10 +28,24 @@ from pareto_frame.session import Phase, default_partitions, materialise
 # Beyond this many candidates super-boxes are faster than everyone against all (measured in 4 to 6 dimensions).
 BROADCAST_ROWS = 40_000
 SEMI_BROADCAST_VALUES = 4_000_000
+# Text has no fixed width, so its bytes are counted.
+TEXT_BYTES = 64 << 20
 # However low the bound is set, shares of dominators are not smaller than this.
 SHARE_ROWS = 10_000
 
 
+def few_enough(phase: Phase, names: Sequence[str], limit: int) -> bool:
+    """Whether a stored table may be broadcast: at most ``limit`` rows, and its texts at most TEXT_BYTES."""
+    if phase.count > limit:
+        return False
+    kinds = (T.StringType, T.BinaryType)
+    texts = [F.coalesce(F.octet_length(c), F.lit(0)) for c in names if isinstance(phase.rows.schema[c].dataType, kinds)]
+    if not texts:
+        return True
+    total = phase.rows.agg(F.sum(sum(texts, F.lit(0).cast("long")))).first()[0]
+    return (total or 0) <= TEXT_BYTES
+
+
 def rival_names(dims: Sequence[str]) -> list[str]:
     return [f"__sky_q{i}" for i in range(len(dims))]
 
@@ -129,11 +143,13 @@ def matching_rows(
     frequent ones; their rows are salted, and only they are repeated on the other side.
     """
     bound = SEMI_BROADCAST_VALUES // len(names)
-    if at_most is None or at_most > bound:
+    wide = any(isinstance(tuples.schema[n].dataType, (T.StringType, T.BinaryType)) for n in names)
+    few = at_most is not None and at_most <= bound
+    if wide or not few:
         phase = materialise(tuples)
-        tuples, at_most = phase.rows, phase.count
+        tuples, few = phase.rows, few_enough(phase, names, bound)
     same = every([e.eqNullSafe(F.col(n)) for e, n in zip(exprs, names, strict=True)])
-    if at_most <= bound:
+    if few:
         return df.join(F.broadcast(tuples), same, "left_semi")
     hot = materialise(frequent(df, exprs, default_partitions(df))).rows
     copies = repeated(tuples, names, hot).withColumnRenamed(SALT, "__sky_salt_of_tuple")

@@ -17,6 +17,7 @@ from pareto_frame.operators.joins import (
     BROADCAST_ROWS,
     as_rivals,
     columns,
+    few_enough,
     rival_names,
     survivors,
 )
@@ -47,7 +48,7 @@ def global_skyline(
         return candidates.rows.agg(F.min(dims[0]).alias(dims[0])).filter(
             F.col(dims[0]).isNotNull()
         )
-    if candidates.count <= limit:
+    if few_enough(candidates, [*keys, *dims], limit):
         return broadcast_merge(candidates.rows, dims, keys)
     if not keys and len(dims) == 2:
         return sweep_merge(candidates, dims)
@@ -57,12 +58,12 @@ def global_skyline(
             candidates,
             dims,
             keys,
-            after_local=lambda left: broadcast_merge(left.rows, dims, keys) if left.count <= limit else None,
+            after_local=lambda left: broadcast_merge(left.rows, dims, keys) if few_enough(left, [*keys, *dims], limit) else None,
         )
     blocks = cut_into_blocks(candidates, dims, keys)
     while not keys:
         smaller = materialise(below_no_corner(blocks, dims))
-        if smaller.count <= limit:
+        if few_enough(smaller, dims, limit):
             return broadcast_merge(smaller.rows, dims)
         if smaller.count > WORTHWHILE * candidates.count:
             break

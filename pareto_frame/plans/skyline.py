@@ -187,7 +187,9 @@ def find_tuples(source: Input, strategy: str, given: DataFrame | None = None, **
     if given is not None:
         if plan is not _representatives:
             raise ValueError("given belongs to the strategy 'representatives'")
-        source, plan, options = _without_dominated(source, given), _sfs_range, {}
+        if options:
+            raise ValueError(f"{', '.join(options)} have no meaning with given points")
+        source, plan = _without_dominated(source, given), _sfs_range
     if len(source.xs) == 1:
         return _minimum(source)
     if not all(supports(t) and has_number(t) for t in source.types):

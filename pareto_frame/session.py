@@ -28,7 +28,8 @@ def shared_folder(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     current = context.getCheckpointDir()
     if named:
-        if current is None:
+        # checkpoints and stored tables belong in one place, so the setting wins over an earlier folder
+        if current is None or named.rstrip("/") not in current:
             context.setCheckpointDir(named)
         return named
     if current is None:

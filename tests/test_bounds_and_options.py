@@ -68,6 +68,20 @@ def test_given_belongs_to_representatives(spark):
     df = spark.createDataFrame([(1.0,)], "a double")
     with pytest.raises(ValueError, match="representatives"):
         skyline(df, ["a"], "grid", given=df)
+    with pytest.raises(ValueError, match="per_dim"):
+        skyline(df, ["a"], "representatives", given=df, per_dim=3)
+
+
+@pytest.mark.parametrize("limit", [10, 1 << 20])
+def test_texts_are_counted_in_bytes(spark, monkeypatch, limit):
+    """Wide texts go by shuffle and by blocks, with the same rows."""
+    monkeypatch.setattr(joins, "TEXT_BYTES", limit)
+    rows = [(f"{i * 7 % 50:02d}" + "x" * 30, i * 11 % 50, i) for i in range(200)]
+    df = spark.createDataFrame(rows, "t string, a int, id int")
+    best = [r for r in rows if not any(beats(q[:2], r[:2]) for q in rows)]
+    assert as_counter(skyline(df, ["t", "a"])) == Counter(best)
+    groups = as_counter(skyline_by(df, ["a"], ["t"]))
+    assert groups == Counter((a, min(t for t, b, _ in rows if a == b)) for a in {r[1] for r in rows})
 
 
 def test_groups_with_payload_nulls_and_dots(spark):
