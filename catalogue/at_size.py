@@ -32,6 +32,7 @@ from pareto_frame import (
 )
 from pareto_frame.operators.boxes import box_merge
 from pareto_frame.operators.joins import survivors_of_many
+from pareto_frame.operators.states import merge_states, skyline_states, state_rows
 from pareto_frame.session import materialise, scratch_path
 from pareto_frame.sources.clustered import write_clustered
 from pareto_frame.sources.generate import with_points
@@ -108,6 +109,34 @@ def skyline_by_at_size(spark, folder):
     return skyline_by(table(spark, folder, "lineitem"), ["l_returnflag"], dims, broadcast_rows=0)
 
 
+@register(
+    "F6_mergeable_states",
+    f"""
+    WITH best AS (
+        SELECT l_returnflag, l_quantity, l_discount, l_tax, min(l_extendedprice) AS l_extendedprice
+        FROM lineitem GROUP BY l_returnflag, l_quantity, l_discount, l_tax)
+    SELECT l_returnflag, l_extendedprice, -l_quantity AS quantity, -l_discount AS discount, l_tax FROM best p
+    WHERE NOT EXISTS (SELECT 1 FROM best q WHERE q.l_returnflag = p.l_returnflag AND {_LINE_TEST})
+    """,
+)
+def mergeable_states(spark, folder):
+    """States by flag, status and supplier, merged to those by flag and status, and those to flags."""
+    rows = table(spark, folder, "lineitem").select(
+        "l_returnflag",
+        "l_linestatus",
+        "l_suppkey",
+        "l_extendedprice",
+        (-F.col("l_quantity")).alias("quantity"),
+        (-F.col("l_discount")).alias("discount"),
+        "l_tax",
+    )
+    names = ["l_extendedprice", "quantity", "discount", "l_tax"]
+    dims = [rows.schema[c] for c in names]
+    fine = skyline_states(rows, ["l_returnflag", "l_linestatus", "l_suppkey"], names)
+    by_status = merge_states(fine, ["l_returnflag", "l_linestatus"], dims)
+    return state_rows(merge_states(by_status, ["l_returnflag"], dims), ["l_returnflag"], dims)
+
+
 # filters by many points
 
 _KEYED_ROWS = _MIXED_ROWS.replace("SELECT o_totalprice", "SELECT o_orderkey, o_totalprice")
