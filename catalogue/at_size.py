@@ -115,7 +115,7 @@ def skyline_by_at_size(spark, folder):
     WITH best AS (
         SELECT l_returnflag, l_quantity, l_discount, l_tax, min(l_extendedprice) AS l_extendedprice
         FROM lineitem GROUP BY l_returnflag, l_quantity, l_discount, l_tax)
-    SELECT l_returnflag, l_extendedprice, -l_quantity AS quantity, -l_discount AS discount, l_tax FROM best p
+    SELECT l_returnflag, l_extendedprice, 0 - l_quantity AS quantity, 0 - l_discount AS discount, l_tax FROM best p
     WHERE NOT EXISTS (SELECT 1 FROM best q WHERE q.l_returnflag = p.l_returnflag AND {_LINE_TEST})
     """,
 )
@@ -126,8 +126,8 @@ def mergeable_states(spark, folder):
         "l_linestatus",
         "l_suppkey",
         "l_extendedprice",
-        (-F.col("l_quantity")).alias("quantity"),
-        (-F.col("l_discount")).alias("discount"),
+        (0 - F.col("l_quantity")).alias("quantity"),
+        (0 - F.col("l_discount")).alias("discount"),
         "l_tax",
     )
     names = ["l_extendedprice", "quantity", "discount", "l_tax"]

@@ -1,7 +1,7 @@
 """Mergeable skyline states: the frontier of each group, packed into binary columns.
 
 A state holds distinct tuples, none of which dominates another, as 64-bit integers in Spark's sort order of
-their dimensions. States of parts of the rows, of other keys below a coarser one, or of yesterday and today
+their dimensions (zeros come back without a sign). States of parts of the rows, of other keys below a coarser one, or of yesterday and today
 merge into the state of the whole, so frontiers can be stored and rolled up without the rows.
 
 Merging goes in a salted tree: up to FAN states of a group meet in one step, so a group with states from
