@@ -175,10 +175,6 @@ def _groups(rows: DataFrame, dims: Sequence[str], keys: Sequence[str]):
     return groups, corners
 
 
-def _table(columns: list, schema: pa.Schema) -> pa.Table:
-    return pa.Table.from_arrays(columns, names=schema.names)
-
-
 def _ship(batches: Iterator[pa.RecordBatch], corners: dict) -> Iterator[pa.RecordBatch]:
     """Open rows for their own slot (side 0); every row for the later slots it may matter in (side 1)."""
     for batch in batches:

@@ -38,6 +38,8 @@ def few_enough(phase: Phase, names: Sequence[str], limit: int) -> bool:
     """Whether a stored table may be broadcast: at most ``limit`` rows, and its texts at most TEXT_BYTES."""
     if phase.count > limit:
         return False
+    if phase.text_bytes is not None:
+        return phase.text_bytes <= TEXT_BYTES
     kinds = (T.StringType, T.BinaryType)
     texts = [F.coalesce(F.octet_length(c), F.lit(0)) for c in names if isinstance(phase.rows.schema[c].dataType, kinds)]
     if not texts:

@@ -16,6 +16,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -81,11 +82,15 @@ def no_derived_constraints(spark: SparkSession):
 
 @dataclass(frozen=True)
 class Phase:
-    """A checkpointed intermediate result, its exact number of rows, and of those that are marked."""
+    """A checkpointed intermediate result, its exact number of rows, and of those that are marked.
+
+    ``text_bytes``: what its texts take, where that has been counted.
+    """
 
     rows: DataFrame
     count: int
     marked: int = 0
+    text_bytes: int | None = None
 
 
 _PHASES: ContextVar[list | None] = ContextVar("phases", default=None)
@@ -110,9 +115,15 @@ def materialise(df: DataFrame, marked: str | None = None, phase: str | None = No
     shared_folder(df.sparkSession)
     seen = Observation()
     true = F.col(marked) if marked else F.lit(False)
-    counts = [F.count(F.lit(1)).alias("n"), F.count_if(true).alias("marked")]
+    texts = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.StringType, T.BinaryType))]
+    widths = [F.coalesce(F.octet_length("`" + c.replace("`", "``") + "`"), F.lit(0)).cast("long") for c in texts]
+    counts = [
+        F.count(F.lit(1)).alias("n"),
+        F.count_if(true).alias("marked"),
+        F.sum(sum(widths, F.lit(0).cast("long"))).alias("text_bytes"),
+    ]
     kept = df.observe(seen, *counts).checkpoint()
-    found = Phase(kept, int(seen.get["n"]), int(seen.get["marked"]))
+    found = Phase(kept, *[int(seen.get[c] or 0) for c in ("n", "marked", "text_bytes")])
     record = _PHASES.get()
     if phase and record is not None:
         record.append((phase, found.count - found.marked))
