@@ -19,7 +19,7 @@ needs_tables = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tab
 
 
 def test_all_operators_are_registered():
-    assert {name.split("_")[0] for name in QUERIES} == {f"op{n}" for n in range(1, 11)}
+    assert {name.split("_")[0] for name in QUERIES} == {f"op{n}" for n in range(1, 14)}
 
 
 @needs_tables
