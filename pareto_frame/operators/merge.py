@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pareto_frame.functions.dominance import every, strictly_dominates, weakly_dominates
-from pareto_frame.functions.geometry import as_number, has_number
+from pareto_frame.functions.geometry import as_number, finite, has_number, rescale
 from pareto_frame.operators.boxes import box_merge
 from pareto_frame.operators.joins import (
     BROADCAST_ROWS,
@@ -22,10 +22,13 @@ from pareto_frame.operators.joins import (
     survivors,
 )
 from pareto_frame.operators.local import supports
+from pareto_frame.operators.partitioning import piece, tasks_for
 from pareto_frame.session import Phase, materialise
 
 WORTHWHILE = 0.8
 BLOCK_ROWS = 4_000
+# Rows that filter the candidates of a block merge at a time, at most one of each block.
+CHAMPIONS = 2_000
 # Ranges of the two-dimensional sweep, whose summaries pass one task.
 MAX_BLOCKS = 10_000
 BLOCK = "__sky_block"
@@ -84,8 +87,13 @@ def below_no_corner(blocks: DataFrame, dims: Sequence[str]) -> DataFrame:
 
 def broadcast_merge(rows: DataFrame, dims: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
     """Every candidate against all of them; only for a checked size."""
+    return _outside_of(rows, dims, keys, rows)
+
+
+def _outside_of(rows: DataFrame, dims: Sequence[str], keys: Sequence[str], rivals: DataFrame) -> DataFrame:
+    """Rows that no rival of the same key dominates; ``rivals`` must be small."""
     own = [F.col(k).alias(f"__sky_key{i}") for i, k in enumerate(keys)]
-    rivals = as_rivals(rows, dims, *own)
+    rivals = as_rivals(rivals, dims, *own)
     condition = strictly_dominates(columns(rival_names(dims)), columns(dims))
     for i, k in enumerate(keys):
         condition = F.col(k).eqNullSafe(F.col(f"__sky_key{i}")) & condition
@@ -127,13 +135,21 @@ def cut_into_blocks(
     """Add a block number: about equal numbers of neighbouring tuples.
 
     Tuples are distinct, so a range partition over all dimensions can always be
-    cut and no block outgrows the others. The blocks are checkpointed because
-    their numbers must not change between the joins that use them.
+    cut and no block outgrows the others. Many blocks share tasks, which cut their sorted range. The blocks are
+    checkpointed because their numbers must not change between the joins that use them.
     """
     blocks = max(ceil(candidates.count / BLOCK_ROWS), 1)
     lead = list(lead) or _quantile_buckets(candidates.rows, dims, blocks)
-    laid = candidates.rows.repartitionByRange(blocks, *keys, *lead, *dims)
-    return materialise(laid.withColumn(BLOCK, F.spark_partition_id())).rows
+    tasks = tasks_for(candidates.rows, candidates.count, blocks)
+    # as columns, since a sort computes expressions again for every comparison
+    leads = {f"__sky_lead{i}": x for i, x in enumerate(lead)}
+    order = [*keys, *leads, *dims]
+    laid = candidates.rows.withColumns(leads).repartitionByRange(tasks, *order)
+    if tasks == blocks:
+        numbered = laid.withColumn(BLOCK, F.spark_partition_id().cast("long"))
+    else:
+        numbered = laid.sortWithinPartitions(*order).withColumn(BLOCK, piece(BLOCK_ROWS))
+    return materialise(numbered.drop(*leads)).rows
 
 
 def block_merge(
@@ -144,6 +160,9 @@ def block_merge(
 ) -> DataFrame:
     """Compare each block only with the blocks that can hold dominators.
 
+    Rows that the best row of some block dominates go first, and what is left is cut into blocks again: each row of
+    a block is copied for every block it may meet, so copies have to follow the rows that may stay, not the input.
+
     The corners of each block decide which pairs of blocks meet, and the corner
     of the other block which rows take part. Rows then meet in an equi-join on
     the pair, in which neither side has more rows than one block.
@@ -152,9 +171,14 @@ def block_merge(
     pairs to cells below or equal in every coordinate.
     """
     place = [*keys, BLOCK, *cells]
+    complete = every([F.col(c).isNotNull() for c in dims])
+    # rows with a null dimension neither dominate nor are dominated
+    apart = rows.filter(~complete).select(*keys, *dims)
+    rows = _below_no_champion(rows.filter(complete), dims, keys, cells)
     low = [F.min(c).alias(f"__sky_lo{i}") for i, c in enumerate(dims)]
     high = [F.max(c).alias(f"__sky_hi{i}") for i, c in enumerate(dims)]
-    boxes = materialise(rows.groupBy(*place).agg(*low, *high)).rows
+    corners = materialise(rows.groupBy(*place).agg(*low, *high))
+    boxes = corners.rows
 
     lows = [f"__sky_lo{i}" for i in range(len(dims))]
     highs = [f"__sky_hi{i}" for i in range(len(dims))]
@@ -169,6 +193,8 @@ def block_merge(
     if cells:
         may = may & weakly_dominates(a[n_keys + 1 :], b[n_keys + 1 :])
     same_key = [x.eqNullSafe(y) for x, y in zip(a[:n_keys], b[:n_keys], strict=True)]
+    if few_enough(corners, place, BROADCAST_ROWS):
+        upper = F.broadcast(upper)
     pairs = lower.join(upper, every([*same_key, may]))
 
     here = columns(place)
@@ -194,7 +220,41 @@ def block_merge(
     beaten = as_rivals(beaten, dims, *own).distinct()
     gone = [F.col(c) == F.col(q) for c, q in zip(dims, rival_names(dims), strict=True)]
     gone += [F.col(k).eqNullSafe(F.col(f"__sky_key{i}")) for i, k in enumerate(keys)]
-    return rows.join(beaten, every(gone), "left_anti").select(*keys, *dims)
+    return apart.unionByName(rows.join(beaten, every(gone), "left_anti").select(*keys, *dims))
+
+
+def _below_no_champion(
+    blocks: DataFrame, dims: Sequence[str], keys: Sequence[str], cells: Sequence[str]
+) -> DataFrame:
+    """Complete rows, in blocks, that no *champion* dominates: the row of smallest score of a block.
+
+    Repeated with blocks of what is left as long as that drops many. At most CHAMPIONS rows filter at a time.
+    """
+    types = {f.name: f.dataType for f in blocks.schema.fields}
+    measured = {c: finite(as_number(F.col(c), types[c])) for c in dims if has_number(types[c])}
+    ends = [f(x).alias(f"{f.__name__}{i}") for i, x in enumerate(measured.values()) for f in (F.min, F.max)]
+    known = blocks.agg(F.count(F.lit(1)).alias("n"), *ends).first()
+    score = F.lit(0.0)
+    for i, c in enumerate(measured):
+        lo, hi = known[f"min{i}"] or 0.0, known[f"max{i}"] or 0.0
+        unit = rescale(as_number(F.col(c), types[c]), F.lit(lo), F.lit(hi))
+        score += F.greatest(F.lit(0.0), F.least(F.lit(1.0), unit))
+    left = Phase(blocks, known["n"])
+    while left.count > BLOCK_ROWS:
+        best = F.min(F.struct(score.alias("__sky_score"), *dims)).alias("__sky_best")
+        champions = left.rows.groupBy(*keys, BLOCK).agg(best).select(*keys, "__sky_best.*")
+        first = champions.orderBy("__sky_score", *dims).limit(CHAMPIONS).select(*keys, *dims)
+        strongest = materialise(broadcast_merge(materialise(first).rows, dims, keys)).rows
+        smaller = materialise(_outside_of(left.rows, dims, keys, strongest))
+        if smaller.count == left.count:
+            break
+        narrow = smaller.rows.select(*keys, *cells, *dims)
+        again = cut_into_blocks(Phase(narrow, smaller.count), dims, keys, lead=[F.col(c) for c in cells])
+        worthwhile = smaller.count <= WORTHWHILE * left.count
+        left = Phase(again, smaller.count)
+        if not worthwhile:
+            break
+    return left.rows
 
 
 def _same_place(x: Sequence[Column], y: Sequence[Column], n_keys: int) -> Column:
