@@ -4,8 +4,8 @@ Candidates are sorted by a Z-order of per-dimension quantile buckets, then by th
 dominates a tuple has no larger bucket anywhere, so it comes earlier in this order: a box needs to meet earlier
 boxes only, and one test direction is enough.
 
-1. Range partitions of that order are *super-boxes* of bounded size; a sorted local pass
-   thins each out.
+1. Range partitions of that order are thinned out by a sorted local pass, and what is left of them are
+   *super-boxes* of bounded size.
 2. Each row is shipped once to every later super-box whose upper corner it reaches. The key is the super-box, an
    equality; there is no join of boxes, and no row is copied per pair of blocks.
 3. A task holds the rows of its super-box and reads the shipped ones as a stream, earliest first. Both sides
@@ -36,6 +36,7 @@ from pareto_frame.operators.local import (
     _total_order,
     local_skyline,
 )
+from pareto_frame.operators.partitioning import piece
 from pareto_frame.session import Phase, default_partitions, materialise
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -84,16 +85,26 @@ def z_order(rows: DataFrame, dims: Sequence[str]) -> Callable[[DataFrame], DataF
 def super_boxes(
     candidates: Phase, dims: Sequence[str], keys: Sequence[str] = (), box_rows: int | None = None
 ) -> Phase:
-    """What a sorted pass over each super-box leaves: keys, dims, number of the box, place in the order."""
+    """What a sorted pass over each range leaves: keys, dims, number of the super-box, place in the order.
+
+    A range is one super-box, or, with more of them than tasks, is cut into some of ``box_rows`` rows after the pass.
+    """
     tasks = WAVES * default_partitions(candidates.rows)
+    held = SUPER_BYTES // (8 * len(dims))
     fair = max(LEAST_ROWS, ceil(candidates.count / tasks))
-    n = max(1, ceil(candidates.count / (box_rows or min(SUPER_BYTES // (8 * len(dims)), fair))))
+    n = max(1, ceil(candidates.count / (box_rows or min(held, fair))))
+    # small super-boxes share a pass: what it drops need not be shipped to any of them
+    passes = min(n, max(tasks, ceil(candidates.count / held)))
     with_order = z_order(candidates.rows, dims)
     placed = with_order(candidates.rows.select(*keys, *dims))
     order = [*keys, ORDER, *dims]
-    laid = placed.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    laid = placed.repartitionByRange(passes, *order).sortWithinPartitions(*order)
     kept = local_skyline(laid, dims, keys, presorted=not keys, by_key=bool(keys))
-    return materialise(with_order(kept.withColumn(BOX, F.spark_partition_id())), phase="super-boxes")
+    box = F.spark_partition_id().cast("long")
+    if passes < n:
+        # the pass by key gives each group in another order
+        kept, box = with_order(kept).sortWithinPartitions(*order), piece(box_rows)
+    return materialise(with_order(kept.withColumn(BOX, box)), phase="super-boxes")
 
 
 def box_merge(
@@ -108,7 +119,7 @@ def box_merge(
 
     ``mark`` may add a boolean column OPEN; rows for which it is false are known to stay and only
     serve against others. ``after_local`` may end the merge with the rows left by the local pass.
-    ``box_rows``: rows of a super-box; by default as memory and the number of tasks allow.
+    ``box_rows``: most rows of a super-box; by default as memory and the number of tasks allow.
     """
     boxes = super_boxes(candidates, dims, keys, box_rows)
     ended = after_local(Phase(boxes.rows.select(*keys, *dims), boxes.count))

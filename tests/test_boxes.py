@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pareto_frame import seeded_skyline, skyline
-from pareto_frame.operators import boxes, lattice
+from pareto_frame.operators import boxes, lattice, partitioning
 from pareto_frame.session import materialise
 from tests.brute import skyline as brute
 from tests.test_plans import plan_of
@@ -164,3 +164,29 @@ def test_grid_parallel_without_broadcast(spark, monkeypatch, slices, cells):
     df = spark.createDataFrame(points, ["a", "b", "c"])
     found = skyline(df, ["a", "b", "c"], "grid_parallel", slices=slices, broadcast_rows=0)
     assert tuples(found) == brute(points)
+
+
+@pytest.mark.parametrize("keys", [[], ["k"]])
+def test_small_boxes_share_a_pass(spark, monkeypatch, keys):
+    """What a pass drops is not shipped, and the tasks do not grow with the number of boxes."""
+    monkeypatch.setattr(boxes, "WAVES", 1)
+    points = sorted({tuple(map(float, p)) for p in anti(np.random.default_rng(11), 600, 3)})
+    far = [(1 + i / 4000, 1 + (i * 37 % 4000) / 4000, 1 + (i * 91 % 4000) / 4000) for i in range(4000)]
+    rows = [(i % 2, *p) for i, p in enumerate(points)] + [(i % 2, *p) for i, p in enumerate(far)]
+    phase = materialise(spark.createDataFrame(rows, "k int, a double, b double, c double"))
+    dims = ["a", "b", "c"]
+    found = boxes.super_boxes(phase, dims, keys, box_rows=20)
+    assert found.rows.rdd.getNumPartitions() == 4
+    sizes = [r["count"] for r in found.rows.groupBy(boxes.BOX).count().collect()]
+    assert max(sizes) <= 20 and len(sizes) >= len(points) / 20
+    assert found.count < len(rows) / 2
+    merged = boxes.box_merge(phase, dims, keys, box_rows=20)
+    groups = [[r[1:] for r in rows if r[0] == k] for k in (0, 1)] if keys else [[r[1:] for r in rows]]
+    expected = sorted(((k, *p) if keys else p) for k, group in enumerate(groups) for p in brute(group))
+    assert tuples(merged) == expected
+
+
+def test_pieces_are_numbered_in_order(spark):
+    rows = spark.range(0, 100, 1, 3).withColumn("n", partitioning.piece(10)).collect()
+    assert [r.n for r in rows] == sorted(r.n for r in rows)
+    assert max(Counter(r.n for r in rows).values()) == 10 and len({r.n for r in rows}) == 12
