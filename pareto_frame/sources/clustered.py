@@ -22,10 +22,13 @@ from pareto_frame.functions.geometry import as_number, finite, has_number, resca
 from pareto_frame.operators.boxes import ORDER, z_order
 from pareto_frame.operators.cleaning import quoted
 from pareto_frame.operators.joins import BROADCAST_ROWS, survivors_of_many
+from pareto_frame.operators.partitioning import tasks_for
 from pareto_frame.plans.skyline import resolve_dims, skyline
 from pareto_frame.session import Phase, materialise
 
 FILE, COPIES = "__sky_file", "n_rows"
+#: Files for each task from which on tasks write several files; the last one of a task may be small.
+SHARED = 4
 
 
 def _names(kind: str, n: int) -> list[str]:
@@ -38,7 +41,8 @@ def write_clustered(
     """Write ``df`` below ``folder`` in files of about ``file_rows`` neighbouring rows, and their zone map.
 
     Rows with a null dimension are stored apart. Rows that tie in all dimensions are ordered by a hash of
-    the whole row, so a frequent tuple fills several files; only identical rows must share one.
+    the whole row, so a frequent tuple fills several files. Identical rows share a task, and, unless that writes
+    several, a file.
     """
     _, exprs = resolve_dims(df, dims)
     xs = _names("__sky_x", len(exprs))
@@ -58,8 +62,12 @@ def write_clustered(
     files = max(1, ceil(known["n"] / file_rows))
     tie = F.xxhash64(*[quoted(c) for c in df.columns]).alias("__sky_tie")
     ordered = z_order(narrow, xs)(placed.filter(complete)).select("*", tie)
-    laid = ordered.repartitionByRange(files, ORDER, *xs, "__sky_tie").sortWithinPartitions(ORDER, *xs)
-    laid.select(*[quoted(c) for c in df.columns]).write.parquet(f"{base}/rows")
+    # a task for each file sends its result and its sample of the order to the driver, so many files share tasks
+    tasks = tasks_for(df, known["n"], files)
+    shared = files >= SHARED * tasks
+    laid = ordered.repartitionByRange(tasks if shared else files, ORDER, *xs, "__sky_tie").sortWithinPartitions(ORDER, *xs)
+    most = {"maxRecordsPerFile": file_rows} if shared else {}
+    laid.select(*[quoted(c) for c in df.columns]).write.options(**most).parquet(f"{base}/rows")
 
     rows = df.sparkSession.read.schema(df.schema).parquet(f"{base}/rows")
     seen = rows.select(F.input_file_name().alias(FILE), *[e.alias(x) for e, x in zip(exprs, xs, strict=True)])

@@ -52,6 +52,19 @@ def test_nulls_copies_nan_and_payload(spark, tmp_path, bound):
         again.skyline(["b"])
 
 
+def test_many_files_share_tasks(spark, tmp_path):
+    """The tasks that write follow the rows, however small the files are."""
+    rows = generate_points(spark, 6000, "independent", dims=3)
+    dims = ["x0", "x1", "x2"]
+    stored = write_clustered(rows, dims, str(tmp_path / "t"), file_rows=50)
+    zones = stored.zones
+    assert 120 <= zones.count() <= 124 and zones.agg(F.max("n_rows")).first()[0] == 50
+    writers = zones.select(F.regexp_extract("__sky_file", r"part-(\d+)-", 1)).distinct().count()
+    assert writers == 4
+    assert counted(stored.rows()) == counted(rows)
+    assert counted(stored.skyline(dims)) == counted(skyline(rows, dims))
+
+
 def test_empty_and_text(spark, tmp_path):
     df = spark.createDataFrame([], "a double, b double")
     stored = write_clustered(df, ["a", "b"], str(tmp_path / "t"))
