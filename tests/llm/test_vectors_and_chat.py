@@ -153,6 +153,49 @@ def test_large_components_stay_exact(spark):
     assert [(r.vec_id, r.score) for r in found] == [(i, score(i)) for i in (44, 43, 42, 41, 40)]
 
 
+def best_by_force(whole: np.ndarray, k: int) -> set:
+    """Of ids 0, 1, ... every tenth is a query."""
+    expected = set()
+    for q in range(0, len(whole), 10):
+        scores = whole @ whole[q]
+        order = [int(i) for i in np.lexsort((np.arange(len(whole)), -scores)) if i != q][:k]
+        expected |= {(q, n + 1, i, int(scores[i])) for n, i in enumerate(order)}
+    return expected
+
+
+@pytest.mark.parametrize("scale", [1, 2**16])
+@pytest.mark.parametrize("blocks", [(4, 8), (16, 1000)])
+def test_copies_of_queries_go_neither_through_the_driver_nor_astray(spark, monkeypatch, scale, blocks):
+    """In no round are the copies of the queries broadcast, and each pair meets once, however the cells are cut."""
+    monkeypatch.setattr(topk, "QUERY_BLOCK", blocks[0])
+    monkeypatch.setattr(topk, "BLOCK", blocks[1])
+    plans, keep = [], topk.stored
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+
+    def seen(df, label):
+        plans.append(plan(df))
+        return keep(df, label)
+
+    monkeypatch.setattr(topk, "stored", seen)
+    rng = np.random.default_rng(12)
+    # few values, so that many scores tie, and the ends of a byte
+    whole = rng.choice([-128, -64, 1, 127], size=(1300, 3)) * scale
+    df = spark.createDataFrame([(i, (v / 64).tolist()) for i, v in enumerate(whole)], "vec_id long, embedding array<double>")
+    found = topk.top_k(df.repartition(3), F.col("vec_id") % 10 == 0, 9)
+    plans.append(plan(found))
+    assert not [p for p in plans if "Broadcast" in p]
+    assert {(r.query_id, r.rank, r.vec_id, r.score) for r in found.collect()} == best_by_force(whole, 9)
+
+
+def test_the_grid_copies_both_sides_alike():
+    assert topk._grid(600, 750_000, 15_000_000, 733, 3663) == (8, 150)
+    assert topk._grid(12, 2565, 51282, 3, 16) == (1, 6)
+    assert topk._grid(200, 1, 1, 1, 1) == (1, 1)
+    for query_blocks, blocks in ((1, 500), (500, 1), (7, 3), (40, 800)):
+        parts = topk._grid(25, query_blocks * 1024, blocks * 4096, query_blocks, blocks)
+        assert 1 <= parts[0] <= query_blocks and 1 <= parts[1] <= blocks
+
+
 # conversations
 
 
